@@ -1 +1 @@
-"""."""
+"""Column names and key-based random columns."""
