@@ -21,7 +21,7 @@ def split_args(args: Column) -> Column:
     """``__a__b`` with ``1;2`` adds a=1 and b=2 to the map; the combined key stays."""
     parts = F.filter(F.map_entries(args), lambda e: e["key"].startswith("__"))
     pairs = lambda e: F.arrays_zip(F.filter(F.split(e["key"], "__"), lambda k: k != "").alias("key"), F.split(e["value"], ";").alias("value"))
-    added = F.flatten(F.transform(parts, lambda e: F.transform(pairs(e), lambda p: F.struct(p["0"].alias("key"), p["1"].alias("value")))))
+    added = F.flatten(F.transform(parts, lambda e: F.transform(pairs(e), lambda p: F.struct(p["key"].alias("key"), p["value"].alias("value")))))
     return F.map_concat(args, F.map_from_entries(added))
 
 
@@ -66,7 +66,7 @@ def ema(df: DataFrame, key: str, order: list[str], value: str, rate: float) -> D
     """Final e = rate e + (1 - rate) p over each key's ordered values, starting at the first."""
     seq = F.array_sort(F.collect_list(F.struct(*order, F.col(value).alias("__v"))))
     folded = df.groupBy(key).agg(seq.alias("s"))
-    fold = F.aggregate(F.slice("s", 2, 2147483647), F.col("s")[0]["__v"], lambda e, p: rate * e + (1 - rate) * p["__v"])
+    fold = F.aggregate(F.expr("slice(s, 2, size(s))"), F.col("s")[0]["__v"], lambda e, p: rate * e + (1 - rate) * p["__v"])
     return folded.select(key, fold.alias("ema"))
 
 

@@ -21,7 +21,7 @@ def single_view(df: DataFrame, columns: list[str]) -> DataFrame:
 def multi_view(df: DataFrame, key: str, once: list[str], per_view: list[str], view: str = "view_idx") -> DataFrame:
     """One row per image: first values of ``once``, arrays over views in order of the rest."""
     folded = df.groupBy(key).agg(*[F.first(c).alias(c) for c in once], F.array_sort(F.collect_list(F.struct(view, *per_view))).alias("__v"))
-    return folded.select(key, *once, *[F.transform("__v", lambda s, c=c: s[c]).alias(c) for c in per_view])
+    return folded.select(key, *once, *[F.col("__v")[c].alias(c) for c in per_view])
 
 
 def stretch_scalar(length: Column, area: Column) -> Column:
