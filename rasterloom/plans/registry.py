@@ -620,10 +620,10 @@ def attractor(s, d):
 # ---- dictionaries, logs, prompts ----
 
 
-@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 3) AS mean FROM events")
+@query("SELECT event_id, round(avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING), 10) AS mean FROM events")
 def running_mean(s, d):
     e = s.read.parquet(f"{d}/events.parquet")
-    return e.select("event_id", F.round(mapping.running_mean(e, ["user_id"], ["ts", "event_id"], "value"), 3).alias("mean"))
+    return e.select("event_id", F.round(mapping.running_mean(e, ["user_id"], ["ts", "event_id"], "value"), 10).alias("mean"))
 
 
 @query("""WITH g AS (SELECT user_id, list(value ORDER BY ts, event_id) AS l FROM events GROUP BY user_id)
