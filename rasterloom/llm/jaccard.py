@@ -43,6 +43,11 @@ def required_overlap(a: int, b: int, percent: int) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
+def shared_least(n: int) -> int:
+    """k of a set of n: the prefix is longer by k - 1, and a partner must share k of it."""
+    return 1 + n // 20
+
+
 def global_order(s: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> np.ndarray:
     """The sorted set with its frequent shingles moved behind the others, by rising count."""
     if not len(frequent) or not len(s):
@@ -155,27 +160,27 @@ def _shingled(docs: DataFrame, n: int, percent: int, bitmap, frequent) -> DataFr
         bits, (common, times) = bitmap.value, frequent.value
         seen: set[bytes] = set()
         for batch in batches:
-            sizes, classes, tokens, prefixes, positions = [], [], [], [], []
+            sizes, classes, tokens, prefixes = [], [], [], []
             for text in batch.column(1).to_pylist():
                 s = shingle_set(text, n)
                 sizes.append(len(s))
                 cls = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
                 classes.append(cls)
-                toks = pre = pos = None
+                toks = pre = None
                 if cls is not None and cls not in seen:
                     seen.add(cls)
                     ordered = global_order(s, common, times)
-                    head = ordered[: len(s) - -(-percent * len(s) // 100) + 1]
+                    least = -(-percent * len(s) // 100)  # of the smallest partner
+                    head = ordered[: len(s) - least + shared_least(len(s))]
                     kept = np.nonzero(store.in_bitmap(bits, head) | (head >= np.uint64(limit)))[0]
-                    if len(kept):
-                        toks, pre, pos = ordered.tobytes(), head[kept].view(np.int64), kept.astype(np.int32)
+                    if len(kept) >= shared_least(least):
+                        toks, pre = ordered.tobytes(), head[kept].view(np.int64)
                 tokens.append(toks)
                 prefixes.append(pre)
-                positions.append(pos)
-            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(tokens, pa.binary()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(positions, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "cls", "toks", "pre", "pos"])
+            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(tokens, pa.binary()), pa.array(prefixes, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n_shingles", "cls", "toks", "pre"])
 
-    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_shingles long, cls binary, toks binary, pre array<long>, pos array<int>")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_shingles long, cls binary, toks binary, pre array<long>")
 
 
 def _token_counts(docs: DataFrame, n: int) -> DataFrame:
@@ -214,29 +219,31 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     table = store.written(_shingled(docs, n, percent, spark.sparkContext.broadcast(bitmap), frequent), "shingles")
     store.discard(common)
 
-    sets = table.where("toks is not null").select("cls", "toks").dropDuplicates(["cls"])
-    rows = table.where("toks is not null").select("cls", F.col("n_shingles").alias("n"), F.explode(F.arrays_zip("pre", "pos")).alias("p"))
-    prefix = rows.select(F.col("p.pre").alias("token"), "cls", "n", F.col("p.pos").alias("pos")).dropDuplicates(["token", "cls"])
-    groups = prefix.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.min(F.struct(F.xxhash64("cls").alias("h"), "cls", "n")).alias("lead")).where("g > 1")
-    prefix = store.written(prefix.join(groups, "token").select("token", "cls", "n", "pos", F.col("lead.cls").alias("query"), F.col("lead.n").alias("qn")), "prefixes")
+    some = table.where("toks is not null")
+    sets = store.written(some.select("cls", "toks").dropDuplicates(["cls"]), "sets")
+    rows = some.select("cls", F.col("n_shingles").alias("n"), F.explode("pre").alias("token")).dropDuplicates(["token", "cls"])
+    groups = rows.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.min(F.struct(F.xxhash64("cls").alias("h"), "cls", "n")).alias("lead")).where("g > 1")
+    prefix = store.written(rows.join(groups, "token").select("token", "cls", "n", F.col("lead.cls").alias("query"), F.col("lead.n").alias("qn")), "prefixes")
 
     near = f"least(n, qn) * 100 >= {percent} * greatest(n, qn)"
-    stars = store.written(prefix.where(f"cls != query and {near}").select("query", "cls", "n").distinct(), "stars")
+    stars = prefix.where(f"cls != query and {near}").groupBy("query", "cls", "n", "qn").agg(F.count(F.lit(1)).alias("c"))
+    stars = store.written(stars.where("c >= 1 + least(n, qn) div 20").select("query", "cls", "n"), "stars")
     star_links = store.written(_linked(stars, sets, percent), "links")
     labels = components(star_links)
 
-    named = prefix.select("token", "cls", "n", "pos").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
+    named = prefix.select("token", "cls", "n").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
     named = named.withColumn("label", F.coalesce("label", "cls"))
     mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
     named = store.written(named.join(mixed, "token"), "mixed")
     x, y = named.alias("x"), named.alias("y")
     bound = f"x.token = y.token and x.label != y.label and (x.n < y.n or x.n = y.n and x.cls < y.cls) and {percent} * y.n <= 100 * x.n"
-    overlap = f"{100 + percent} * (1 + least(x.n - x.pos, y.n - y.pos) - 1) >= {percent} * (x.n + y.n)"
-    pairs = x.join(y, F.expr(f"{bound} and {overlap}")).select(F.col("y.cls").alias("query"), F.col("x.cls").alias("cls"), F.col("x.n").alias("n")).distinct()
+    pairs = x.join(y, F.expr(bound)).groupBy(F.col("y.cls").alias("query"), F.col("x.cls").alias("cls"), F.col("x.n").alias("n")).agg(F.count(F.lit(1)).alias("c"))
+    pairs = pairs.where("c >= 1 + n div 20").drop("c")
     tried = stars.select("query", "cls").union(stars.select(F.col("cls").alias("query"), F.col("query").alias("cls")))
     rest_links = store.written(_linked(pairs.join(tried, ["query", "cls"], "left_anti"), sets, percent), "links")
     store.discard(named)
     store.discard(prefix)
+    store.discard(sets)
     if not rest_links.isEmpty():
         labels = components(star_links.union(rest_links))
 
