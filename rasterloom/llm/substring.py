@@ -26,7 +26,7 @@ from . import store
 from .words import Windows, counted, gram_hashes, split_words, word_ids
 
 #: Words of an anchor.
-ANCHOR = 8
+ANCHOR = 16
 
 
 def anchors(ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
