@@ -8,6 +8,9 @@ a trie in the global order; the query walks it, sets with a common beginning sha
 overlap counted so far, and a subtree ends where the remaining lengths cannot reach the
 required overlap.
 
+Beyond the end of the prefix that ends first, a set has only so many shingles left, which
+raises what a pair must share: see :func:`_enough`.
+
 Equal sets are one class from the start.  First each prefix group is tried against a
 single leader; components that form need no further comparison inside themselves, so a
 group of thousands of near copies costs a star, not all pairs.  Then every pair of a
@@ -45,7 +48,17 @@ def required_overlap(a: int, b: int, percent: int) -> int:
 
 def shared_least(n: int) -> int:
     """k of a set of n: the prefix is longer by k - 1, and a partner must share k of it."""
-    return 1 + n // 20
+    return 1 + n // 12
+
+
+def _enough(a: str, b: str, percent: int) -> str:
+    """SQL: a pair of sets of sizes a and b that shares c prefix shingles can still reach the overlap.
+
+    Common shingles up to the end of the prefix that ends first are in both prefixes and
+    counted in c; beyond it that set has ``ceil(t n) - k`` shingles.
+    """
+    rest = lambda n: f"(ceil({percent} * {n} / 100) - 1 - {n} div 12)"
+    return f"c >= ceil({percent} * ({a} + {b}) / {100 + percent}) - greatest({rest(a)}, {rest(b)}) and c >= 1 + least({a}, {b}) div 12"
 
 
 def global_order(s: np.ndarray, frequent: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -218,6 +231,7 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     frequent = spark.sparkContext.broadcast((keys.view(np.uint64)[order], times[order]))
     table = store.written(_shingled(docs, n, percent, spark.sparkContext.broadcast(bitmap), frequent), "shingles")
     store.discard(common)
+    store.tidy(spark)
 
     some = table.where("toks is not null")
     sets = store.written(some.select("cls", "toks").dropDuplicates(["cls"]), "sets")
@@ -225,9 +239,10 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     groups = rows.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.min(F.struct(F.xxhash64("cls").alias("h"), "cls", "n")).alias("lead")).where("g > 1")
     prefix = store.written(rows.join(groups, "token").select("token", "cls", "n", F.col("lead.cls").alias("query"), F.col("lead.n").alias("qn")), "prefixes")
 
+    store.tidy(spark)
     near = f"least(n, qn) * 100 >= {percent} * greatest(n, qn)"
     stars = prefix.where(f"cls != query and {near}").groupBy("query", "cls", "n", "qn").agg(F.count(F.lit(1)).alias("c"))
-    stars = store.written(stars.where("c >= 1 + least(n, qn) div 20").select("query", "cls", "n"), "stars")
+    stars = store.written(stars.where(_enough("n", "qn", percent)).select("query", "cls", "n"), "stars")
     star_links = store.written(_linked(stars, sets, percent), "links")
     labels = components(star_links)
 
@@ -235,10 +250,11 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     named = named.withColumn("label", F.coalesce("label", "cls"))
     mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
     named = store.written(named.join(mixed, "token"), "mixed")
+    store.tidy(spark)
     x, y = named.alias("x"), named.alias("y")
     bound = f"x.token = y.token and x.label != y.label and (x.n < y.n or x.n = y.n and x.cls < y.cls) and {percent} * y.n <= 100 * x.n"
-    pairs = x.join(y, F.expr(bound)).groupBy(F.col("y.cls").alias("query"), F.col("x.cls").alias("cls"), F.col("x.n").alias("n")).agg(F.count(F.lit(1)).alias("c"))
-    pairs = pairs.where("c >= 1 + n div 20").drop("c")
+    pairs = x.join(y, F.expr(bound)).groupBy(F.col("y.cls").alias("query"), F.col("x.cls").alias("cls"), F.col("x.n").alias("n"), F.col("y.n").alias("qn")).agg(F.count(F.lit(1)).alias("c"))
+    pairs = pairs.where(_enough("n", "qn", percent)).drop("c", "qn")
     tried = stars.select("query", "cls").union(stars.select(F.col("cls").alias("query"), F.col("query").alias("cls")))
     rest_links = store.written(_linked(pairs.join(tried, ["query", "cls"], "left_anti"), sets, percent), "links")
     store.discard(named)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,13 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove shuffle files that only finished, written steps used: it does so once the
+    driver's garbage is collected, which a long job with little garbage may put off for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def with_rank(df: DataFrame, group: list[str], bucket: Column, order: list[Column], rank: str) -> DataFrame:
     """Add ``rank``: the gapless 0-based place of each row in its group, ordered by bucket, then ``order``.
 
