@@ -102,6 +102,7 @@ def _marks(table: DataFrame) -> DataFrame:
     rows = some.select("rid", zipped.alias("b")).select("rid", "b.*")
     key = ["anchor", "block", "windows"]
     index = store.written(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "start")).alias("ref")), "blocks")
+    store.tidy(table.sparkSession)
     whole = rows.join(index.where("n > 1"), key).select("rid", "start", "windows", F.col("ref.rid").alias("ref_rid"), F.col("ref.start").alias("ref_start"))
 
     mixed = index.groupBy("anchor").agg(F.count(F.lit(1)).alias("blocks")).where("blocks > 1").select("anchor")
@@ -109,6 +110,7 @@ def _marks(table: DataFrame) -> DataFrame:
     full = some.select("rid", F.explode(F.arrays_zip("start", "anchor", "hashes")).alias("b")).select("rid", "b.*")
     single = full.join(wanted, ["rid", "start"]).select("rid", "start", "anchor", "single", F.posexplode("hashes").alias("i", "hash"))
     windows = store.written(single.select("rid", (F.col("start") + F.col("i")).alias("start"), "anchor", "hash", "single"), "windows")
+    store.tidy(table.sparkSession)
     again = windows.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "start")).alias("ref")).where("n > 1")
     parts = windows.where("single").join(again, ["anchor", "hash"]).select("rid", "start", F.lit(1).cast("long").alias("windows"), F.col("ref.rid").alias("ref_rid"), F.col("ref.start").alias("ref_start"))
     return whole.union(parts)
@@ -142,6 +144,7 @@ def substring_dedup(docs: DataFrame, width: int = 50, keep_text: bool = False) -
     bitmap = spark.sparkContext.broadcast(store.repeated_bitmap(keys, keys.count()))
     store.discard(keys)
     table = store.written(_blocks(docs, width, bitmap, keep_text), "parse")
+    store.tidy(spark)
     marks = _marks(table).groupBy("rid").agg(F.collect_list(F.struct("start", "windows", "ref_rid", "ref_start")).alias("marks"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     open_rows = table.where("kept_sha256 is null").select("rid", "doc_id", "n_words", "text").join(marks, "rid", "left").drop("rid")
