@@ -131,12 +131,12 @@ class Trie:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (u, v) among candidate ``pairs(query, cls, n)``, by a trie for each query and share of its candidates."""
+    """Links (u, v) among candidate ``pairs(query, cid, n)``, by a trie for each query and share of its candidates."""
     sized = pairs.groupBy("query").agg(F.expr(f"ceil(sum(n) / {TRIE_SHINGLES})").cast("int").alias("shares"))
-    members = pairs.join(sized, "query").select("query", F.expr("pmod(xxhash64(cls), shares)").cast("int").alias("share"), "cls")
-    members = members.join(sets, "cls").select("query", "share", "cls", "toks", F.lit(1).alias("member"))
+    members = pairs.join(sized, "query").select("query", F.expr("pmod(xxhash64(cid), shares)").cast("int").alias("share"), "cid")
+    members = members.join(sets, "cid").select("query", "share", "cid", "toks", F.lit(1).alias("member"))
     asked = sized.select("query", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"))
-    asked = asked.join(sets, asked["query"] == sets["cls"]).select("query", "share", "cls", "toks", F.lit(0).alias("member"))
+    asked = asked.join(sets, asked["query"] == sets["cid"]).select("query", "share", "cid", "toks", F.lit(0).alias("member"))
     dealt = members.union(asked).repartition("query", "share").sortWithinPartitions("query", "share", "member")
 
     def run(batches: Iterable[pa.RecordBatch]):
@@ -144,24 +144,24 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
         def close():
             out = [ids[i] for i, _ in Trie(held).similar(query, percent)] if held and query is not None else []
-            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(out), pa.binary()), pa.array(out, pa.binary())], ["u", "v"])
+            return pa.RecordBatch.from_arrays([pa.array([key[0]] * len(out), pa.int64()), pa.array(out, pa.int64())], ["u", "v"])
 
         for batch in batches:
-            for q, share, cls, toks, member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for q, share, cid, toks, member in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (q, share) != key:
                     if held:
                         yield close()
                     key, query, ids, held = (q, share), None, [], []
                 tokens = np.frombuffer(toks, "<u8")
                 if member:
-                    ids.append(cls)
+                    ids.append(cid)
                     held.append(tokens)
                 else:
                     query = tokens
         if held:
             yield close()
 
-    return map_arrow(dealt, run, "u binary, v binary")
+    return map_arrow(dealt, run, "u long, v long")
 
 
 def _shingled(docs: DataFrame, n: int, percent: int, bitmap, frequent) -> DataFrame:
@@ -233,38 +233,51 @@ def jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     store.discard(common)
     store.tidy(spark)
 
-    some = table.where("toks is not null")
-    sets = store.written(some.select("cls", "toks").dropDuplicates(["cls"]), "sets")
-    rows = some.select("cls", F.col("n_shingles").alias("n"), F.explode("pre").alias("token")).dropDuplicates(["token", "cls"])
-    groups = rows.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.min(F.struct(F.xxhash64("cls").alias("h"), "cls", "n")).alias("lead")).where("g > 1")
-    prefix = store.written(rows.join(groups, "token").select("token", "cls", "n", F.col("lead.cls").alias("query"), F.col("lead.n").alias("qn")), "prefixes")
+    # the written numbers stand for the digests from here on: a pair of them is an eighth of the bytes
+    some = table.where("toks is not null").select("cls", F.col("n_shingles").alias("n"), "toks", "pre").dropDuplicates(["cls"])
+    full = store.written(some.withColumn("cid", F.monotonically_increasing_id()), "sets")
+    sets = full.select("cid", "toks")
+    slim = store.written(table.select("doc_id", "n_shingles", "cls"), "classes")
+    store.discard(table)
+    table = slim
+    store.tidy(spark)
+    rows = full.select("cid", "n", F.explode("pre").alias("token"))
+    groups = rows.groupBy("token").agg(F.count(F.lit(1)).alias("g"), F.min(F.struct(F.xxhash64("cid").alias("h"), "cid", "n")).alias("lead")).where("g > 1")
+    prefix = store.written(rows.join(groups, "token").select("token", "cid", "n", F.col("lead.cid").alias("query"), F.col("lead.n").alias("qn")), "prefixes")
 
     store.tidy(spark)
     near = f"least(n, qn) * 100 >= {percent} * greatest(n, qn)"
-    stars = prefix.where(f"cls != query and {near}").groupBy("query", "cls", "n", "qn").agg(F.count(F.lit(1)).alias("c"))
-    stars = store.written(stars.where(_enough("n", "qn", percent)).select("query", "cls", "n"), "stars")
+    stars = prefix.where(f"cid != query and {near}").groupBy("query", "cid", "n", "qn").agg(F.count(F.lit(1)).alias("c"))
+    stars = store.written(stars.where(_enough("n", "qn", percent)).select("query", "cid", "n"), "stars")
     star_links = store.written(_linked(stars, sets, percent), "links")
     labels = components(star_links)
+    store.tidy(spark)
 
-    named = prefix.select("token", "cls", "n").join(labels.withColumnRenamed("node", "cls"), "cls", "left")
-    named = named.withColumn("label", F.coalesce("label", "cls"))
+    named = prefix.select("token", "cid", "n").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
+    named = named.withColumn("label", F.coalesce("label", "cid"))
     mixed = named.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo != hi").select("token")
     named = store.written(named.join(mixed, "token"), "mixed")
+    store.discard(prefix)
     store.tidy(spark)
     x, y = named.alias("x"), named.alias("y")
-    bound = f"x.token = y.token and x.label != y.label and (x.n < y.n or x.n = y.n and x.cls < y.cls) and {percent} * y.n <= 100 * x.n"
-    pairs = x.join(y, F.expr(bound)).groupBy(F.col("y.cls").alias("query"), F.col("x.cls").alias("cls"), F.col("x.n").alias("n"), F.col("y.n").alias("qn")).agg(F.count(F.lit(1)).alias("c"))
+    bound = f"x.token = y.token and x.label != y.label and (x.n < y.n or x.n = y.n and x.cid < y.cid) and {percent} * y.n <= 100 * x.n"
+    pairs = x.join(y, F.expr(bound)).groupBy(F.col("y.cid").alias("query"), F.col("x.cid").alias("cid"), F.col("x.n").alias("n"), F.col("y.n").alias("qn")).agg(F.count(F.lit(1)).alias("c"))
     pairs = pairs.where(_enough("n", "qn", percent)).drop("c", "qn")
-    tried = stars.select("query", "cls").union(stars.select(F.col("cls").alias("query"), F.col("query").alias("cls")))
-    rest_links = store.written(_linked(pairs.join(tried, ["query", "cls"], "left_anti"), sets, percent), "links")
+    tried = stars.select("query", "cid").union(stars.select(F.col("cid").alias("query"), F.col("query").alias("cid")))
+    pairs = store.written(pairs.join(tried, ["query", "cid"], "left_anti"), "pairs")
     store.discard(named)
-    store.discard(prefix)
-    store.discard(sets)
+    store.tidy(spark)
+    rest_links = store.written(_linked(pairs, sets, percent), "links")
     if not rest_links.isEmpty():
         labels = components(star_links.union(rest_links))
+    labels = labels.union(labels.select("label", "label").distinct())  # a label's own class has no row yet
+    labels = store.written(labels.join(full.select(F.col("cid").alias("node"), "cls"), "node").select("cls", "label"), "labels")
+    store.discard(full)
+    store.tidy(spark)
 
     least = table.where("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("least"))
-    least = least.join(labels.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    whole = least.groupBy("label").agg(F.min("least").alias("component_id"))
-    classes = least.join(whole, "label").select("cls", "component_id")
+    linked = least.join(labels, "cls")
+    whole = linked.groupBy("label").agg(F.min("least").alias("component_id"))
+    classes = linked.join(whole, "label").select("cls", "component_id")
+    classes = least.join(classes, "cls", "left").select("cls", F.coalesce("component_id", "least").alias("component_id"))
     return table.select("doc_id", "n_shingles", "cls").join(classes, "cls", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
