@@ -18,7 +18,8 @@ def line_dedup(docs: DataFrame, run: int = 3, keep_text: bool = False) -> DataFr
     Lines end at a line feed; surrounding white space does not count, and blank lines are
     neither compared nor removed.  A run of ``run`` or more consecutive non-blank lines
     that already occurs at an earlier place, by (doc_id, row, line), is removed; the
-    first occurrence stays.  ``kept_sha256`` is over the remaining original lines, joined
+    first occurrence stays, and with ``run`` 1 every later occurrence of a line goes, alone
+    or in a run of any length.  ``kept_sha256`` is over the remaining original lines, joined
     by line feeds; with ``keep_text`` they are returned.  Null and empty texts have one
     blank line.  Of repeated rows the first stays; null doc_ids come first.
 
@@ -35,7 +36,8 @@ def line_dedup(docs: DataFrame, run: int = 3, keep_text: bool = False) -> DataFr
     rows = rows.select("rid", "doc_id", F.expr("transform(l, s -> xxhash64(s.x))").alias("h"), F.expr("transform(l, s -> s.i)").alias("at"), F.expr("transform(l, s -> md5(s.x))").alias("m"))
     rows = rows.where(F.size("h") >= run)
     least = ", ".join(f"named_struct('h', h[p + {j}], 'j', {-j})" for j in range(run))
-    window = f"named_struct('p', p, 'least', least({least}), 'full', md5(concat({', '.join(f'm[p + {j}]' for j in range(run))})), 'at', slice(at, p + 1, {run}))"
+    least = f"least({least})" if run > 1 else least
+    window = f"named_struct('p', p, 'least', {least}, 'full', unhex(md5(concat({', '.join(f'm[p + {j}]' for j in range(run))}))), 'at', slice(at, p + 1, {run}))"
     windows = rows.select("rid", "doc_id", F.expr(f"explode(transform(sequence(0, size(h) - {run}), p -> {window}))").alias("w"))
     windows = windows.select("rid", "doc_id", "w.p", F.col("w.least.h").alias("print"), (F.col("w.p") - F.col("w.least.j")).alias("mark"), "w.full", "w.at")
     windows = store.written(windows, "windows")

@@ -78,13 +78,17 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_dedup(table(spark, sf_dir, "documents"), run=3)
 
 
+def op9_line_dedup_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents"), run=1)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(table(spark, sf_dir, "documents"), keep="largest")
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_pack, op2_jaccard_join, op3_substring_dedup, op4_pii, op5_toxicity, op6_shard, op7_decontaminate, op8_warc, op9_line_dedup, op10_exact_dedup)
+    for f in (op1_pack, op2_jaccard_join, op3_substring_dedup, op4_pii, op5_toxicity, op6_shard, op7_decontaminate, op8_warc, op9_line_dedup, op9_line_dedup_single, op10_exact_dedup)
 }
 
 _BASE32 = """(
@@ -113,6 +117,16 @@ WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM d
      k AS (SELECT e.doc_id, count(*) AS n_lines, count(m.i) AS n_removed,
              coalesce(string_agg(CASE WHEN m.i IS NULL THEN e.line END, chr(10) ORDER BY e.i), '') AS kept
            FROM e LEFT JOIN m ON e.doc_id = m.doc_id AND e.i = m.i GROUP BY e.doc_id)
+SELECT doc_id, n_lines, n_removed, sha256(kept) AS kept_sha256 FROM k""",
+    "op9_line_dedup_single": """
+WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+     e AS (SELECT doc_id, unnest(range(len(ls))) AS i, unnest(ls) AS line FROM l),
+     s AS (SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(13)) AS x FROM e WHERE trim(line, ' ' || chr(9) || chr(13)) <> ''),
+     d AS (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS turn FROM s),
+     m AS (SELECT doc_id, i FROM d WHERE turn > 1),
+     k AS (SELECT e.doc_id, count(*) AS n_lines, count(m.i) AS n_removed,
+             coalesce(string_agg(CASE WHEN m.i IS NULL THEN e.line END, chr(10) ORDER BY e.i), '') AS kept
+           FROM e LEFT JOIN m ON e.doc_id = m.doc_id AND e.i = m.i GROUP BY e.doc_id)
 SELECT doc_id, n_lines, n_removed, sha256(kept) AS kept_sha256 FROM k""",
     "op10_exact_dedup": """
 SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

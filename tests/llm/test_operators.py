@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rasterloom.llm import components, decontam, exact, jaccard, lines, packing, pii, sharding, substring, toxicity, warc
+from rasterloom.llm import components, decontam, exact, jaccard, lines, packing, pii, queries, sharding, substring, toxicity, warc
 
 tokenizers = pytest.importorskip("public_tokenizers")
 SCHEMA = "doc_id long, text string, n_chars long, size long, key string"
@@ -291,6 +291,39 @@ def test_lines(spark):
     assert got == want
 
 
+@pytest.mark.parametrize("run", [1, 2])
+def test_short_runs(spark, run):
+    """A repeated line, or pair, between fresh lines goes; rows of fewer lines are compared too."""
+    rows = [(1, "once\nsame\npair a\npair b\nend"), (2, "same"), (3, "new\n same \nother\n\n"), (4, "x\npair a\n\npair b\ny"), (5, None), (6, "same\nsame")]
+    seen, want = set(), {}
+    for d, t in rows:
+        ls = (t or "").split("\n")
+        full = [(i, x.strip()) for i, x in enumerate(ls) if x.strip()]
+        dead = set()
+        for p in range(len(full) - run + 1):
+            k = tuple(x for _, x in full[p : p + run])
+            if k in seen:
+                dead |= {i for i, _ in full[p : p + run]}
+            seen.add(k)
+        want[d] = (len(ls), len(dead), "\n".join(x for i, x in enumerate(ls) if i not in dead))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_text"]) for r in lines.line_dedup(df, run, keep_text=True).collect()}
+    assert got == want
+
+
+def test_single_lines_query(spark):
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("no tables")
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{data}/documents.parquet'")
+    want = con.sql(queries.SQL["op9_line_dedup_single"])
+    got = queries.QUERIES["op9_line_dedup_single"](spark, data).select(*want.columns).collect()
+    assert Counter(tuple(r) for r in got) == Counter(want.fetchall())
+
+
 @pytest.mark.parametrize("keep", ["largest", "smallest"])
 def test_exact(docs, keep):
     got = exact.exact_dedup(docs, keep).collect()
