@@ -41,7 +41,20 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}")
+_IBAN_END = re.compile(r"[A-Z0-9](?![A-Za-z0-9])")
+#: Characters of an IBAN by country, spaces not counted.
+IBAN_LENGTH = {
+    country: n
+    for n, countries in {
+        15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+        22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+        25: "AO CV GW LY MZ PT ST", 26: "DZ IR IS TR", 27: "BI CF CG CM DJ FR GA GQ GR IT KM MC MG MR SM TD",
+        28: "AL AZ BF BJ BY CI CY DO GT HN HU LB MA ML NE NI PL SN SV TG", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+        31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for country in countries.split()
+}
 _LOCAL_PHONE = re.compile(r"(?<![0-9+.-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9.-])")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
 _WORD = re.compile(r"[\w-]+")
@@ -106,6 +119,24 @@ def _digit_spans(pattern: re.Pattern, text: str, least: int, most: int, check=No
     return out
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Each ends at its country's length, or at the last end of a word in reach if the country is not known."""
+    out, m = [], _IBAN.search(text)
+    while m:
+        ends = [e.end() for e in _IBAN_END.finditer(text, m.start() + 4, m.end() + 1) if e.end() <= m.end()]
+        wanted = IBAN_LENGTH.get(text[m.start() : m.start() + 2])
+        if wanted:
+            ends = [e for e in ends if e - m.start() - text.count(" ", m.start(), e) == wanted]
+        else:
+            ends = [e for e in ends if e - m.start() - text.count(" ", m.start(), e) >= 15][-1:]
+        at = m.start() + 1
+        if ends and mod97(text[m.start() : ends[0]].replace(" ", "")):
+            at = ends[0]
+            out.append((m.start(), at))
+        m = _IBAN.search(text, at)
+    return out
+
+
 def score(kind: str, text: str, start: int, end: int) -> float:
     """The kind's prior, raised or lowered by whole words within NEAR characters."""
     near = set(_WORD.findall((text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR]).lower()))
@@ -119,7 +150,7 @@ def find(text: str | None) -> list[tuple[int, int, int, float]]:
         return []
     found = [(0, emails(text)), (1, addresses(text)), (2, _digit_spans(_CARD, text, 14, 19, luhn))]
     found.append((3, _digit_spans(_PHONE, text, 10, 15) if "+" in text else []))
-    found.append((4, [m.span() for m in _IBAN.finditer(text) if mod97(m.group().replace(" ", ""))]))
+    found.append((4, ibans(text)))
     found.append((5, [m.span() for m in _LOCAL_PHONE.finditer(text)]))
     scored = [(s, k, e, score(KINDS[k], text, s, e)) for k, spans in found for s, e in spans]
     return sorted(x for x in scored if x[1] < BASE or x[3] >= THRESHOLD)

@@ -189,6 +189,17 @@ def test_added_spans():
     assert not any(k == 5 for _, k, _, _ in pii.find("order 212-555-0100"))
 
 
+@pytest.mark.parametrize("iban", ["DE89 3704 0044 0532 0130 00", "DE89370400440532013000", "NO9386011117947", "GB82 WEST 1234 5698 7654 32", "MT84MALT011000012345MTLCAST001S"])
+def test_iban_end(iban):
+    """Upper-case words, numbers or another IBAN behind do not hide it."""
+    for behind in ("", " EUR 500", " BIC COBADEFFXXX", " 500", " and 1", ", X", " DE89370400440532013000", " A" * 40):
+        for before in ("", "IBAN ", "FROM AB12 ", "\u00e9 "):
+            text = before + iban + behind
+            got = [(s, e) for s, k, e, _ in pii.find(text) if k == 4]
+            assert got[0] == (len(before), len(before) + len(iban)) and len(got) == 1 + ("DE89" in behind)
+    assert not [k for _, k, _, _ in pii.find(f"{iban}0 EUR") + pii.find(f"{iban}x") + pii.find(f"A{iban}") if k == 4]
+
+
 def test_toxicity(spark):
     bad = ["vile", "nasty", "rotten", "awful"]
     rows, labels = [], []
