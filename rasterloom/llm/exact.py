@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterable
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -15,6 +16,8 @@ from . import store
 
 #: Bytes of the text that splitters compare before its hash; the sort itself compares whole texts.
 SPLITTER_BYTES = 24
+#: Rows in a batch of results, about.
+ROWS = 10_000
 
 
 def exact_dedup(docs: DataFrame, keep: str = "smallest") -> DataFrame:
@@ -24,8 +27,9 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     smallest or largest doc_id stays.  Sampled splitters range-partition the rows on the
     beginning of the text, its hash and the doc_id, so a group of any size spreads over
     tasks; an external sort places equal texts next to each other, and neighbours are
-    compared in full.  A task reports each run of equal texts once; runs that cross a
-    splitter meet again by digest.  Of repeated rows with one doc_id exactly one stays;
+    compared in full.  A task counts each run of equal texts once and gives its rows the
+    size and the first doc_id; only runs of a task's first and last hash, which may cross a
+    splitter, meet again by digest, two hashes a task.  Of repeated rows with one doc_id exactly one stays;
     a null doc_id stays only if the group has no other.
     """
     sign = -1 if keep == "largest" else 1
@@ -36,28 +40,55 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest") -> DataFrame:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(n, "head", "hash", turn).sortWithinPartitions("head", "hash", "text", turn)
 
-    def run(batches: Iterable[pa.RecordBatch]):
-        last, digest, place = None, "", -1
+    def whole_runs(batches: Iterable[pa.RecordBatch]):
+        """Digest, doc_ids and whether it may cross a splitter, of each run."""
+        opened = last = hashed = None
+        held: list = []  # the runs of the present hash
         for batch in batches:
-            ids, texts = batch.columns
+            ids, texts, hashes = batch.columns
             if not len(texts):
                 continue
-            equal = [texts[0].as_py() == last, *pc.equal(texts[1:], texts[:-1]).to_pylist()]
-            digests, places = [], []
-            for i, same in enumerate(equal):
-                if not same:
-                    place += 1
-                    digest = hashlib.sha256(texts[i].as_py().encode()).hexdigest()
-                digests.append(digest)
-                places.append(place)
-            last = texts[len(texts) - 1].as_py()
-            heads = pc.invert(pa.array(equal, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(digests), pa.array(places, pa.int64()), heads], ["doc_id", "text_sha256", "place", "head"])
-
-    runs = map_arrow(ordered.select("doc_id", "text"), run, f"doc_id {kind}, text_sha256 string, place long, head boolean")
+            new = [0, *(i for i, same in enumerate(pc.equal(texts[1:], texts[:-1]).to_pylist(), 1) if not same)]
+            for start, end in zip(new, [*new[1:], len(texts)], strict=True):
+                text, h = texts[start].as_py(), hashes[start].as_py()
+                if h != hashed:
+                    yield from ((d, pa.concat_arrays(parts), hashed == opened) for d, parts in held)
+                    opened = h if hashed is None else opened
+                    hashed, held, last = h, [], None
+                if text != last:
+                    held.append((hashlib.sha256(text.encode()).hexdigest(), []))
+                held[-1][1].append(ids.slice(start, end - start))
+                last = text
+        yield from ((d, pa.concat_arrays(parts), True) for d, parts in held)
+
+    def rows_of(parts: list) -> pa.RecordBatch:
+        ids, digests, heads, borders, sizes, firsts = zip(*parts, strict=True)
+        lengths = [len(x) for x in ids]
+        of = pa.array(np.repeat(np.arange(len(ids)), lengths))
+        head = np.zeros(sum(lengths), bool)
+        head[np.cumsum([0, *lengths[:-1]])] = heads
+        columns = [pa.array(digests).take(of), pa.array(head), pa.array(borders).take(of), pa.array(sizes, pa.int64()).take(of), pa.array(firsts, ids[0].type).take(of)]
+        return pa.RecordBatch.from_arrays([pa.concat_arrays(ids), *columns], ["doc_id", "text_sha256", "head", "border", "run_size", "run_id"])
+
+    def run(batches: Iterable[pa.RecordBatch]):
+        parts, n = [], 0
+        for digest, ids, border in whole_runs(batches):
+            first = ids[0].as_py()  # the order makes it the extreme one
+            for at in range(0, len(ids), ROWS):
+                parts.append((ids.slice(at, ROWS), digest, at == 0, border, len(ids), first))
+                n += len(parts[-1][0])
+                if n >= ROWS:
+                    yield rows_of(parts)
+                    parts, n = [], 0
+        if parts:
+            yield rows_of(parts)
+
+    schema = f"doc_id {kind}, text_sha256 string, head boolean, border boolean, run_size long, run_id {kind}"
+    runs = map_arrow(ordered.select("doc_id", "text", "hash"), run, schema)
     runs = store.written(runs.withColumn("task", F.spark_partition_id()), "runs")
-    pick = F.max("doc_id") if sign < 0 else F.min("doc_id")
-    first = F.min(F.when(F.col("head"), F.struct("task", "place")))
-    groups = runs.groupBy("text_sha256").agg(F.count(F.lit(1)).alias("group_size"), pick.alias("keep_id"), first.alias("first"))
-    kept = F.col("head") & (F.struct("task", "place") == F.col("first"))
-    return runs.join(groups, "text_sha256").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
+    pick = F.max("run_id") if sign < 0 else F.min("run_id")
+    ends = runs.where("border and head").groupBy("text_sha256").agg(F.sum("run_size").alias("size"), pick.alias("id"), F.min("task").alias("first"))
+    joined = runs.join(F.broadcast(ends.withColumn("border", F.lit(True))), ["text_sha256", "border"], "left")
+    size, keep_id = F.coalesce("size", "run_size"), F.when(F.col("size").isNull(), F.col("run_id")).otherwise(F.col("id"))
+    kept = F.col("head") & (F.col("first").isNull() | (F.col("task") == F.col("first")))
+    return joined.select("doc_id", keep_id.alias("keep_id"), size.alias("group_size"), kept.alias("kept"), "text_sha256")

@@ -350,6 +350,34 @@ def test_exact(docs, keep):
         assert [r["doc_id"] for r in mine if r["kept"]] == [top]
 
 
+@pytest.mark.parametrize("keep", ["largest", "smallest"])
+def test_exact_runs(spark, keep):
+    """A group that crosses splitters and batches; rows are not joined by digest after their sort."""
+    rows = [(i, "hot" if i % 3 else f"t{i // 30}") for i in range(60_000)] + [(None, "hot"), (None, "lone"), (5, "hot"), (5, "hot")]
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+    for k, v in small.items():
+        spark.conf.set(k, v)
+    try:
+        out = exact.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), keep)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = out.collect()
+    finally:
+        for k in small:
+            spark.conf.unset(k)
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    groups, f = {}, max if keep == "largest" else min
+    for d, t in rows:
+        groups.setdefault(t, []).append(d)
+    want = Counter()
+    for t, ids in groups.items():
+        top = f((i for i in ids if i is not None), default=None)
+        digest = hashlib.sha256(t.encode()).hexdigest()
+        want.update((d, top, len(ids), digest) for d in ids)
+    assert Counter((r["doc_id"], r["keep_id"], r["group_size"], r["text_sha256"]) for r in got) == want
+    assert sorted(r["text_sha256"] for r in got if r["kept"]) == sorted(hashlib.sha256(t.encode()).hexdigest() for t in groups)
+    assert all(r["doc_id"] == r["keep_id"] for r in got if r["kept"])
+
+
 def test_pipeline(spark):
     data = "/root/testdata/sf0.001"
     if not os.path.isdir(data):
