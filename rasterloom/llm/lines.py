@@ -1,4 +1,4 @@
-"""Line deduplication by winnowing, with DataFrame functions only."""
+"""Line deduplication by counting windows of lines, with DataFrame functions only."""
 
 from __future__ import annotations
 
@@ -24,9 +24,9 @@ def line_dedup(docs: DataFrame, run: int = 3, keep_text: bool = False) -> DataFr
     blank line.  Of repeated rows the first stays; null doc_ids come first.
 
     Each window of ``run`` line hashes selects its rightmost minimum; every repeated run
-    shares such a fingerprint.  Fingerprints that occur once are dropped; at the others
-    the match is extended over the window's lines to both sides, and runs that follow the
-    same earlier occurrence join into longer ones.  Counting by key before joining keeps
+    shares such a fingerprint.  Windows whose fingerprint occurs once are dropped; all
+    others are counted by their full digest, and the lines of each later one go.  Matches
+    are not extended and positions not joined.  Counting by key before joining keeps
     a line that stands in a third of all documents from meeting itself in pairs.
     """
     base = docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
