@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: A key's second bit is chosen by its bits from here on.
+SECOND = 14
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees: ``spark.checkpoint.dir``.
@@ -34,7 +37,7 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts the lineage, survives lost executors."""
     path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -78,15 +81,17 @@ def with_rank(df: DataFrame, group: list[str], bucket: Column, order: list[Colum
 def repeated_bitmap(keys: DataFrame, rows: int, max_bits: int = 1 << 28) -> np.ndarray:
     """A bit set of the int64 column ``key``; false positives only, and a size bound of ``max_bits``.
 
-    The set has 16 bits a row, between 2**16 and ``max_bits`` (32 MB); beyond that it
-    fills up and lets more keys through, which costs work and changes no result.
+    A key sets two bits.  The set has 16 bits a row or more, between 2**16 and
+    ``max_bits`` (32 MB); beyond that it fills up and lets more keys through, which costs
+    work in proportion to the input and changes no result.
     """
     bits = 1 << 16
     while bits < min(max_bits, 16 * rows):
         bits *= 2
+    both = keys.select(F.explode(F.array("key", F.expr(f"shiftright(key, {SECOND})"))).alias("key"))
     cell = F.expr(f"shiftright(key & {bits - 1}L, 6)").alias("cell")
     one = F.expr("shiftleft(1L, cast(key & 63 as int))").alias("one")
-    got = keys.select(cell, one).groupBy("cell").agg(F.expr("bit_or(one)").alias("mask")).toArrow()
+    got = both.select(cell, one).groupBy("cell").agg(F.expr("bit_or(one)").alias("mask")).toArrow()
     out = np.zeros(bits // 64, np.int64)
     out[got["cell"].to_numpy()] = got["mask"].to_numpy()
     return out.view(np.uint64)
@@ -94,5 +99,9 @@ def repeated_bitmap(keys: DataFrame, rows: int, max_bits: int = 1 << 28) -> np.n
 
 def in_bitmap(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Which uint64 ``keys`` may be in the set."""
-    low = keys & np.uint64(bitmap.size * 64 - 1)
-    return (bitmap[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) != 0
+
+    def one(low: np.ndarray) -> np.ndarray:
+        low = low & np.uint64(bitmap.size * 64 - 1)
+        return (bitmap[(low >> np.uint64(6)).astype(np.int64)] >> (low & np.uint64(63))) & np.uint64(1) != 0
+
+    return one(keys) & one(keys >> np.uint64(SECOND))

@@ -1,20 +1,21 @@
-"""Substring deduplication by relative Lempel-Ziv parsing.
+"""Substring deduplication by parsing documents against indexed reference blocks.
 
 A window of ``width`` words that starts in more than one place is a duplicate.  Reference
 blocks are stretches of text around anchors: the least hash among the short grams of a
-window, so that equal windows have equal anchors at equal places.  Blocks whose anchor
-occurs once hold no duplicate and are dropped before any exchange.  The index maps a
-block, and for anchors with differing blocks every window in them, to its first
-occurrence, the reference.  Each document is then parsed greedily: a factor is the
-longest run that follows one reference; windows that cross a factor's boundary are looked
-up by themselves, so cutting at boundaries loses none.  Factors of ``width`` words or
-more are duplicate spans.
+window, so that equal windows have equal anchors at equal places.  Two counts over the
+whole input, of anchors and of the windows under repeated ones, leave the pieces of blocks
+whose windows may repeat.  The index maps a piece, and for anchors with differing pieces
+every window in them, to its first occurrence, the reference: counting by it decides.
+Each document is then parsed greedily: a factor takes up every piece that follows one
+reference without a gap; windows at the boundary of a factor, inside pieces that match no
+other as a whole, are looked up by themselves, so cutting at boundaries loses none.
+Factors of ``width`` words or more are duplicate spans.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..runtime import map_arrow
 from . import store
-from .words import Windows, counted, gram_hashes, split_words, word_ids
+from .words import Windows, gram_hashes, key_bits, repeated_keys, short_keys, slices, split_words, word_ids
 
 #: Words of an anchor.
 ANCHOR = 16
@@ -36,62 +37,81 @@ def anchors(ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.nda
         return np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
     k = min(ANCHOR, width)
     grams, span = gram_hashes(ids, k), width - k + 1
-    least, step = grams, 1
-    while 2 * step <= span:  # minima of runs of doubling length
-        least = np.minimum(least[: len(least) - step], least[step:])
-        step *= 2
-    least = np.minimum(least[:n], least[span - step : span - step + n])
-    # the leftmost place of the minimum: windows keep it until it leaves or a smaller one comes
-    place = np.nonzero(np.concatenate(([True], least[1:] != least[:-1])))[0]
-    starts = []
-    for a, b in zip(place, np.append(place[1:], n), strict=True):
-        at = a
-        while at < b:
-            first = at + int(np.argmax(grams[at : at + span] == least[at]))
-            starts.append((at, first))
-            at = first + 1 if first + 1 < b else b
-    first = np.array([s for s, _ in starts])
-    return grams[[p for _, p in starts]], first, np.diff(np.append(first, n))
-
-
-def _anchor_counts(docs: DataFrame, width: int) -> DataFrame:
-    def run(batches: Iterable[pa.RecordBatch]):
-        yield from counted(anchors(word_ids(split_words(t)), width)[0] for batch in batches for t in batch.column(0).to_pylist())
-
-    counts = map_arrow(docs.select("text"), run, "key long, n long")
-    return counts.groupBy("key").agg(F.sum("n").alias("n")).where("n > 1").select("key")
+    least, place, step = grams, np.arange(len(grams)), 1
 
+    def leftmost(low: slice, high: slice):
+        later = least[high] < least[low]
+        return np.where(later, least[high], least[low]), np.where(later, place[high], place[low])
 
-def _blocks(docs: DataFrame, width: int, bitmap, keep_text: bool) -> DataFrame:
-    """Per row: word count and, if none of its anchors repeats, its digest; else its text and blocks."""
+    while 2 * step <= span:  # minima of runs of doubling length
+        least, place = leftmost(slice(0, len(least) - step), slice(step, len(least)))
+        step *= 2
+    _, place = leftmost(slice(0, n), slice(span - step, span - step + n))
+    first = np.nonzero(np.concatenate(([True], place[1:] != place[:-1])))[0]
+    return grams[place[first]], first, np.diff(np.append(first, n))
+
+
+def pieces(ids: np.ndarray, width: int, anchored: Callable, repeated: Callable):
+    """(anchor, first window, windows, hash of all its words, hashes of its windows) of each maximal run of windows
+    that have one anchor place, whose anchor is in ``anchored`` and whose hashes are all in ``repeated``."""
+    anchor, start, n = anchors(ids, width)
+    keep = anchored(anchor)
+    if not keep.any():
+        return [], [], [], [], []
+    hashes, at = Windows(ids), np.arange(len(ids) - width + 1)
+    every = hashes(at, at + width)
+    kept = np.repeat(keep, n)
+    kept[kept] = repeated(every[kept])
+    block = np.repeat(np.arange(len(n)), n)
+    begins = kept & np.concatenate(([True], ~kept[:-1] | (block[1:] != block[:-1])))
+    ends = kept & np.concatenate((~kept[1:] | (block[1:] != block[:-1]), [True]))
+    first, last = np.nonzero(begins)[0], np.nonzero(ends)[0] + 1
+    return anchor[block[first]], first, last - first, hashes(first, last + width - 1), [every[a:b] for a, b in zip(first, last, strict=True)]
+
+
+def _filters(docs: DataFrame, width: int) -> tuple[Callable, Callable]:
+    """Two tests of uint64 keys: whether an anchor, and whether a window of such anchors, may occur twice."""
+    bits, texts = key_bits(docs), docs.select("text")
+
+    def test(keys: DataFrame) -> Callable:
+        found = store.written(keys.select("key"), "repeated")
+        shared = docs.sparkSession.sparkContext.broadcast(store.repeated_bitmap(found, found.count()))
+        store.discard(found)
+        store.tidy(docs.sparkSession)
+        return lambda k: store.in_bitmap(shared.value, short_keys(k, bits))
+
+    def windows(text: str | None) -> np.ndarray:
+        ids = word_ids(split_words(text))
+        found = pieces(ids, width, anchored, lambda k: np.ones(len(k), bool))[4]
+        return np.concatenate(found) if found else np.empty(0, np.uint64)
+
+    anchored = test(repeated_keys(texts, lambda t: anchors(word_ids(split_words(t)), width)[0], bits))
+    return anchored, test(repeated_keys(texts, windows, bits))
+
+
+def _blocks(docs: DataFrame, width: int, anchored: Callable, repeated: Callable, keep_text: bool) -> DataFrame:
+    """Per row: word count and, if it has no piece, its digest; else its text and pieces."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    names = ["rid", "doc_id", "n_words", "kept_sha256", "text", "start", "windows", "anchor", "block", "hashes"]
+    names = ["rid", "doc_id", "n_words", "kept_sha256", "text", "anchor", "start", "windows", "block", "hashes"]
 
     def run(batches: Iterable[pa.RecordBatch]):
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[] for _ in names[2:]]
             for text in batch.column(2).to_pylist():
                 words = split_words(text)
-                ids = word_ids(words)
-                anchor, start, n = anchors(ids, width)
-                keep = store.in_bitmap(bitmap.value, anchor)
+                anchor, start, n, block, hashes = pieces(word_ids(words), width, anchored, repeated)
                 row: list = [len(words), None, text, None, None, None, None, None]
-                if keep.any():
-                    hashes = Windows(ids)
-                    anchor, start, n = anchor[keep], start[keep], n[keep]
-                    at = np.arange(len(ids) - width + 1)
-                    every = hashes(at, at + width).view(np.int64)
-                    block = hashes(start, start + n + width - 1)
-                    row[3:] = [start, n, anchor.view(np.int64), block.view(np.int64), [every[s : s + k] for s, k in zip(start, n, strict=True)]]
+                if len(start):
+                    row[3:] = [anchor.view(np.int64), start, n, block.view(np.int64), [h.view(np.int64) for h in hashes]]
                 elif not keep_text:
                     row[1:3] = [hashlib.sha256(b" ".join(words)).hexdigest(), None]
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             longs = pa.list_(pa.int64())
-            types = [pa.int64(), pa.string(), pa.string(), longs, longs, longs, longs, pa.list_(longs)]
+            types = [pa.int64(), pa.string(), pa.string(), longs, pa.list_(pa.int32()), pa.list_(pa.int32()), longs, pa.list_(longs)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, t) for c, t in zip(out, types, strict=True))], names)
 
-    schema = f"rid long, doc_id {kind}, n_words long, kept_sha256 string, text string, start array<long>, windows array<long>, anchor array<long>, block array<long>, hashes array<array<long>>"
+    schema = f"rid long, doc_id {kind}, n_words long, kept_sha256 string, text string, anchor array<long>, start array<int>, windows array<int>, block array<long>, hashes array<array<long>>"
     return map_arrow(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "text"), run, schema)
 
 
@@ -112,7 +132,7 @@ def _marks(table: DataFrame) -> DataFrame:
     windows = store.written(single.select("rid", (F.col("start") + F.col("i")).alias("start"), "anchor", "hash", "single"), "windows")
     store.tidy(table.sparkSession)
     again = windows.groupBy("anchor", "hash").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("rid", "start")).alias("ref")).where("n > 1")
-    parts = windows.where("single").join(again, ["anchor", "hash"]).select("rid", "start", F.lit(1).cast("long").alias("windows"), F.col("ref.rid").alias("ref_rid"), F.col("ref.start").alias("ref_start"))
+    parts = windows.where("single").join(again, ["anchor", "hash"]).select("rid", "start", F.lit(1).alias("windows"), F.col("ref.rid").alias("ref_rid"), F.col("ref.start").alias("ref_start"))
     return whole.union(parts)
 
 
@@ -140,10 +160,7 @@ def substring_dedup(docs: DataFrame, width: int = 50, keep_text: bool = False) -
     other's duplicates; doc_id is only carried and may be null.
     """
     spark = docs.sparkSession
-    keys = store.written(_anchor_counts(docs, width), "anchors")
-    bitmap = spark.sparkContext.broadcast(store.repeated_bitmap(keys, keys.count()))
-    store.discard(keys)
-    table = store.written(_blocks(docs, width, bitmap, keep_text), "parse")
+    table = store.written(_blocks(docs, width, *_filters(docs, width), keep_text), "parse")
     store.tidy(spark)
     marks = _marks(table).groupBy("rid").agg(F.collect_list(F.struct("start", "windows", "ref_rid", "ref_start")).alias("marks"))
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
+
+from ..runtime import map_arrow
 
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 _COEFFICIENTS = _RNG.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -73,25 +78,66 @@ def shingle_set(text: str | None, n: int) -> np.ndarray:
     return grams[np.concatenate(([True], grams[1:] != grams[:-1]))]
 
 
-def rows_of(batch: pa.RecordBatch, *names: str):
-    return zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True)
-
-
-def counted(parts, limit: int = 1 << 21):
-    """Merge many arrays of uint64 keys into few batches of (key long, n long), each key once a batch."""
-    held, size = [], 0
-    for part in parts:
-        held.append(part)
-        size += len(part)
-        if size >= limit:
-            yield _count(held)
-            held, size = [], 0
-    if size:
-        yield _count(held)
-
-
-def _count(held: list[np.ndarray]) -> pa.RecordBatch:
-    held_keys = np.sort(np.concatenate(held))
-    starts = np.nonzero(np.concatenate(([True], held_keys[1:] != held_keys[:-1])))[0]
-    keys, n = held_keys[starts], np.diff(np.append(starts, len(held_keys)))
-    return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], ["key", "n"])
+def key_bits(df: DataFrame) -> int:
+    """Bits of the bucket number of :func:`repeated_keys`: 8 to 16 buckets a partition."""
+    return min(30, (8 * df.rdd.getNumPartitions()).bit_length())
+
+
+def short_keys(keys: np.ndarray, bits: int) -> np.ndarray:
+    """The first ``bits`` + 32 bits of uint64 keys."""
+    return keys >> np.uint64(32 - bits)
+
+
+def repeated_keys(texts: DataFrame, keys_of: Callable[[str | None], np.ndarray], bits: int) -> DataFrame:
+    """(key, n) of the short keys that occur n > 1 times over all of ``texts(text)``.
+
+    Tasks send sorted 4-byte rests by bucket, so counting moves a few bytes for each key;
+    a bucket that is counted holds the keys of a fraction of one input partition.
+    """
+    cut, rest = np.uint64(64 - bits), np.uint64(32 - bits)
+
+    def send(batches: Iterable[pa.RecordBatch]):
+        def blobs(held: list[np.ndarray]):
+            keys = np.sort(np.concatenate(held))
+            bucket = (keys >> cut).astype(np.int64)
+            starts = np.nonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))[0]
+            rests = ((keys >> rest) & np.uint64(0xFFFFFFFF)).astype("<u4")
+            blob = [rests[a:b].tobytes() for a, b in zip(starts, np.append(starts[1:], len(keys)), strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array(blob, pa.binary())], ["bucket", "blob"])
+
+        held, size = [], 0
+        for batch in slices(batches):
+            for text in batch.column(0).to_pylist():
+                held.append(keys_of(text))
+                size += len(held[-1])
+                if size >= 1 << 20:
+                    yield blobs(held)
+                    held, size = [], 0
+        if size:
+            yield blobs(held)
+
+    def count(batches: Iterable[pa.RecordBatch]):
+        def close(bucket: int, held: list[bytes]):
+            keys, times = np.unique(np.frombuffer(b"".join(held), "<u4"), return_counts=True)
+            keys = keys[times > 1].astype(np.int64) | (bucket << 32)
+            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times[times > 1].astype(np.int64))], ["key", "n"])
+
+        bucket, held = None, []
+        for batch in batches:
+            for b, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if b != bucket:
+                    if held:
+                        yield close(bucket, held)
+                    bucket, held = b, []
+                held.append(blob)
+        if held:
+            yield close(bucket, held)
+
+    sent = map_arrow(texts, send, "bucket long, blob binary")
+    return map_arrow(sent.repartition("bucket").sortWithinPartitions("bucket"), count, "key long, n long")
+
+
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 1024) -> Iterable[pa.RecordBatch]:
+    """Batches of few rows, so that a worker holds few texts at once."""
+    for batch in batches:
+        yield from (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
