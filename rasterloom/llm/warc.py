@@ -13,6 +13,7 @@ import hashlib
 import struct
 import uuid
 from collections.abc import Iterable, Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -89,12 +90,13 @@ class BundleReader:
         return zstandard.ZstdDecompressor().decompress(self._at(self.starts[i], packed), max_output_size=size)
 
 
-def record(kind: str, record_id: str, uri: str, payload: bytes, digest: str, refers_to: str | None, own_id: str, refers_own: str | None) -> bytes:
+def record(kind: str, record_id: str, uri: str, payload: bytes, digest: str, refers_to: str | None, own_id: object, refers_own: object) -> bytes:
     """One WARC/1.1 record; a revisit holds no payload but states its length and digest."""
     body = payload if kind == "response" else b""
-    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}", f"X-Page-ID: {own_id}"]
+    lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", "WARC-Date: 1970-01-01T00:00:00Z", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{digest}", f"X-Payload-Length: {len(payload)}"]
+    lines += [f"{name}: {quote(str(value))}" for name, value in (("X-Page-ID", own_id), ("X-Refers-To-Page-ID", refers_own)) if value is not None]
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{refers_to}>", f"X-Refers-To-Page-ID: {refers_own}"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{refers_to}>"]
     lines += ["Content-Type: text/html", f"Content-Length: {len(body)}", "", ""]
     return "\r\n".join(lines).encode() + body + b"\r\n\r\n"
 
@@ -117,21 +119,21 @@ def _base32(data: bytes) -> str:
 
 
 def _roles(pages: DataFrame, minimum: int) -> DataFrame:
-    """page_id, url, html, turn (of repeated rows), revisit_of (null: response), by one shuffle of the html.
+    """page_id, url, body, turn (of repeated rows), top (page_id of the response), response, by one shuffle of the html.
 
     Digests are counted first, so a payload that a third of all pages share is never
-    gathered: only (digest, greatest page_id) meets the pages again.
+    gathered: only (digest, greatest page_id) meets the pages again, and by the same key
+    that numbers repeated rows.
     """
     body = F.coalesce("html", F.lit("")).cast("binary")
-    rows = pages.select("page_id", "url", body.alias("body")).withColumn("digest", F.sha1("body"))
-    least = F.col("page_id").asc_nulls_last()
-    groups = rows.where(F.octet_length("body") >= minimum).groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("top")).where("n > 1").select("digest", "top")
-    ids = rows.where(F.octet_length("body") >= minimum).select("page_id", "digest").join(groups, "digest").distinct()
-    ids = ids.select(F.col("page_id").alias("k"), F.col("digest").alias("d"), "top")
-    turn = F.row_number().over(W.partitionBy("page_id", "digest").orderBy(least, "url"))
-    named = rows.withColumn("turn", turn)
-    joined = named.join(ids, F.col("page_id").eqNullSafe(F.col("k")) & (F.col("digest") == F.col("d")), "left")
-    response = F.col("d").isNull() | (F.col("page_id").eqNullSafe(F.col("top")) & (F.col("turn") == 1))
+    own = F.concat(F.when(F.col("page_id").isNull(), "-").otherwise("+"), F.coalesce(F.col("page_id").cast("string"), F.lit("")))
+    rows = pages.select("page_id", "url", body.alias("body"), own.alias("own")).withColumn("digest", F.sha1("body"))
+    alike = rows.where(F.octet_length("body") >= minimum)
+    groups = alike.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.max("page_id").alias("top")).where("n > 1").select("digest", "top")
+    ids = alike.select("own", "digest").distinct().join(groups, "digest").withColumn("grouped", F.lit(True))
+    named = rows.withColumn("turn", F.row_number().over(W.partitionBy("own", "digest").orderBy("url")))
+    joined = named.join(ids, ["own", "digest"], "left")
+    response = F.col("grouped").isNull() | (F.col("page_id").eqNullSafe(F.col("top")) & (F.col("turn") == 1))
     return joined.select("page_id", "url", "body", "turn", F.when(~response, F.col("top")).alias("top"), response.alias("response"))
 
 
@@ -170,7 +172,7 @@ def write_archives(pages: DataFrame, folder: str, minimum: int = 0) -> DataFrame
                 digest = _base32(body)
                 own = _record_id(page, digest, turn)
                 refers = None if response else _record_id(top, digest, 1)
-                data = record("response" if response else "revisit", own, " ".join((url or "").split()), body, digest, refers, "" if page is None else str(page), "" if top is None else str(top))
+                data = record("response" if response else "revisit", own, " ".join((url or "").split()), body, digest, refers, page, top)
                 frame, offset = writer.add(data)
                 rows.append((page, own, name, frame, offset, len(data)))
                 if writer.written >= BUNDLE_BYTES:
@@ -208,7 +210,8 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                 digest, n, what = headers["WARC-Payload-Digest"][5:], int(headers["X-Payload-Length"]), headers["WARC-Type"]
                 if what == "response" and (len(body) != n or _base32(body) != digest):
                     raise ValueError(f"payload differs at {bundle}, {frame}, {offset}")
-                row = (headers["X-Page-ID"] or None, n, digest, what, headers.get("X-Refers-To-Page-ID") or None, record_id)
+                page, refers = (None if x is None else unquote(x) for x in map(headers.get, ("X-Page-ID", "X-Refers-To-Page-ID")))
+                row = (page, n, digest, what, refers, record_id)
                 for column, value in zip(out, row, strict=True):
                     column.append(value)
             types = [pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
