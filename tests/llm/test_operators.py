@@ -140,15 +140,51 @@ def test_trie():
         assert set(jaccard.Trie(sets).similar(q, 60)) == want
 
 
+@pytest.mark.parametrize("percent", [60, 85])
+def test_prefix_tree(percent):
+    """All pairs of different labels that share enough of their prefixes, and no others."""
+    rng = np.random.default_rng(percent)
+    base = [rng.permutation(np.arange(k * 40, k * 40 + 40)) for k in range(3)]
+    sets = [np.sort(b[: rng.integers(20, 41)]).astype(np.uint64) for b in base for _ in range(25)]
+    sizes, labels = np.array([len(s) for s in sets]), rng.integers(0, 30, len(sets))
+    heads = [s[: len(s) - -(-percent * len(s) // 100) + jaccard.shared_least(len(s))] for s in sets]
+    groups, signs = np.sort(rng.integers(0, 3, len(sets))), [jaccard.signature(s) for s in sets]
+    members = jaccard.Members(groups, heads, sizes, labels, signs)
+    got = {(i, j) for q, s in jaccard.PrefixForest(members, percent).similar(members) for i, j in zip(q.tolist(), s.tolist(), strict=True)}
+    shared = lambda i, j: len(np.intersect1d(heads[i], heads[j]))
+    want, linked = set(), set()
+    for i, x in enumerate(sizes.tolist()):
+        for j, y in enumerate(sizes.tolist()):
+            if groups[i] == groups[j] and labels[i] != labels[j] and percent * max(x, y) <= 100 * min(x, y) and shared(i, j) >= jaccard.prefix_overlap(x, y, percent):
+                want.add((i, j))
+            if groups[i] == groups[j] and labels[i] != labels[j] and 100 * len(np.intersect1d(sets[i], sets[j])) >= percent * len(np.union1d(sets[i], sets[j])):
+                linked.add((i, j))
+    assert linked and linked <= got <= want
+
+
+def test_jaccard_blocks(spark, monkeypatch):
+    """Leaders with many sets are dealt out by pairs of blocks, some labels with blocks of their own."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 6)
+    rng, rows = np.random.default_rng(3), []
+    base = prose(60, 30).split()
+    for i in range(60):
+        copy = list(base)
+        for j in rng.choice(60, rng.integers(0, 8), replace=False):
+            copy[j] = f"w{i}_{j}"
+        rows.append((i, " ".join(copy)))
+    rows += [(100 + i, " ".join(prose(40, 31).split()[: 20 + i])) for i in range(20)]
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), 4, 70)
+    assert Counter(tuple(r) for r in got.collect()) == brute_components(rows, 4, 70)
+
+
 def test_components(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (101, 100), (7, 7), (200, 200)], "u long, v long")
     got = {r["node"]: r["label"] for r in components.components(links).collect()}
     assert got == {**{i: 0 for i in range(1, 41)}, 101: 100}
 
 
-@pytest.mark.parametrize("width", [3, 35])
-def test_substring(docs, width):
-    rows = [(d, words(t)) for d, t in corpus()]
+def brute_substring(rows, width):
+    rows = [(d, words(t)) for d, t in rows]
     seen = Counter(tuple(w[i : i + width]) for _, w in rows for i in range(len(w) - width + 1))
     want = Counter()
     for d, w in rows:
@@ -158,12 +194,27 @@ def test_substring(docs, width):
                 dead[i : i + width] = [True] * width
         kept = b" ".join(x for x, y in zip(w, dead, strict=True) if not y)
         want[d, len(w), sum(dead), hashlib.sha256(kept).hexdigest(), kept.decode()] += 1
+    return want
+
+
+@pytest.mark.parametrize("width", [3, 35])
+def test_substring(docs, width):
+    want = brute_substring(corpus(), width)
     got = substring.substring_dedup(docs, width, keep_text=True)
     assert Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"], r["kept_text"]) for r in got.collect()) == want
     plain = substring.substring_dedup(docs, width)
     assert Counter(tuple(r) for r in plain.drop("factors").collect()) == Counter(k[:4] for k in want.elements())
 
 
+def test_substring_overlaps(spark):
+    """Passages cut at any place, periodic texts, and passages that meet or overlap."""
+    rng, passage = np.random.default_rng(11), prose(200, 60).split()
+    rows = [(i, " ".join([*prose(8, 200 + i).split(), *passage[a : a + n], *prose(5, 300 + i).split()])) for i, (a, n) in enumerate(zip(rng.integers(0, 150, 25), rng.integers(20, 80, 25), strict=True))]
+    rows += [(50, "a b c " * 40), (51, "b c a " * 15), (52, "z " * 100), (53, " ".join(passage[:60] + passage[20:90])), (54, "z " * 34)]
+    got = substring.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 35)
+    assert Counter(tuple(r)[:4] for r in got.collect()) == Counter(k[:4] for k in brute_substring(rows, 35).elements())
+
+
 BASE = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 CASES = [
     "mail a.b@c.de, x@y, @z.com, p@q.r_s@t.uv and é@x.y", "1.2.3.4 256.1.1.1 1.2.3.4.5.6.7.8 1.2.3 0300.1.1.1 01.002.0003.255", "4539 1488 0343 6467 and 4539148803436468, 1-2-3",
