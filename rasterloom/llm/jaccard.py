@@ -383,7 +383,8 @@ def _met(rows: DataFrame, percent: int) -> DataFrame:
     own = counts.where("own is not null").select(F.col("lead").alias("ol"), F.col("own").alias("o"))
     blocks = counts.groupBy("lead", "own").agg(F.greatest(F.ceil(F.sum("sets") / BLOCK_SETS), F.ceil(F.sum("p") / BLOCK_SHINGLES)).alias("blocks"))
     homes = blocks.select(F.col("lead").alias("hl"), F.explode(F.expr("transform(sequence(1, cast(blocks as int)), i -> named_struct('own', own, 'i', i))")).alias("h"))
-    homes = homes.groupBy("hl").agg(F.sort_array(F.collect_list("h")).alias("homes"))
+    homes = store.written(homes.groupBy("hl").agg(F.sort_array(F.collect_list("h")).alias("homes")), "homes")  # so that joins can split a hot leader
+    own = store.written(own, "own")
     named = sized.join(own, (F.col("lead") == F.col("ol")) & (F.col("label") == F.col("o")), "left").drop("ol", "p").join(homes, F.col("lead") == F.col("hl"))
     mine = "filter(homes, h -> h.own <=> o)"
     named = named.withColumn("home", F.expr(f"{mine}[cast(pmod(xxhash64(cid), size({mine})) as int)]"))
