@@ -12,20 +12,22 @@ Candidates within the radius are then compared exactly by weighted shingle Jacca
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..runtime import map_arrow
 from .words import gram_hashes, word_ids
 
 #: Fingerprint bits that may differ: 8 blocks of 2 bits more each, less one.
 RADIUS = 23
-#: Items whose tables one pass holds; more items take more passes over the documents.
-ITEMS_A_PASS = 4096
+#: Items and characters of items whose tables one pass holds; more take more passes over the documents.
+ITEMS_A_PASS = 16_384
+CHARS_A_PASS = 16 << 20
 #: Characters between words, besides white space: fixed ASCII punctuation.
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _SPACES = bytes.maketrans(PUNCTUATION, b" " * len(PUNCTUATION))
@@ -100,10 +102,10 @@ class Index:
                     starts[max(0, min(place + k - size, last)) : min(place, last) + 1] = True
         return {size: np.nonzero(starts)[0] for size, starts in reach.items()}
 
-    def matches(self, text: str | None, threshold: float) -> dict[object, tuple[float, int, int]]:
-        """item -> (similarity, first word, words) of its best window at or above the threshold."""
+    def matches(self, text: str | None, threshold: float) -> dict[int, tuple[float, int, int]]:
+        """Place of an item -> (similarity, first word, words) of its best window at or above the threshold."""
         ids = words_of(text)
-        found: dict[object, tuple[float, int, int]] = {}
+        found: dict[int, tuple[float, int, int]] = {}
         for size, starts in self._windows(ids).items():
             k = min(self.n, size)
             grams = gram_hashes(ids, k)
@@ -127,8 +129,8 @@ class Index:
                         continue
                     start = int(part[w])
                     s = weighted_jaccard(np.sort(grams[start : start + count]), self.shingles[i])
-                    if s >= threshold and s > found.get(self.ids[i], (0.0,))[0]:
-                        found[self.ids[i]] = (s, start, min(size, len(ids) - start))
+                    if s >= threshold and s > found.get(int(i), (0.0,))[0]:
+                        found[int(i)] = (s, start, min(size, len(ids) - start))
         return found
 
 
@@ -140,50 +142,75 @@ def weighted_jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.minimum(x, y).sum() / np.maximum(x, y).sum())
 
 
+def _passes(benchmark: DataFrame, n: int) -> Iterable[Callable[[], Index]]:
+    """For each bounded block of ``benchmark(item_id, text)`` a function that gives its index in a worker."""
+    spark, held, size = benchmark.sparkSession, [], 0
+
+    def index(block: list) -> Callable[[], Index]:
+        shared, cache = spark.sparkContext.broadcast(block), []
+
+        def get() -> Index:
+            if not cache:
+                cache.append(Index(shared.value, n))
+            return cache[0]
+
+        return get
+
+    for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
+        held.append((row["item_id"], row["text"]))
+        size += len(row["text"])
+        if len(held) >= ITEMS_A_PASS or size >= CHARS_A_PASS:
+            yield index(held)
+            held, size = [], 0
+    if held:
+        yield index(held)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
     """doc_id, item_id, similarity, first_word, words for every document and benchmark item that match.
 
-    ``docs(doc_id, text)`` is read once for each ITEMS_A_PASS items of
-    ``benchmark(item_id, text)``; a pass holds only its own items, so memory is bounded
-    whatever the benchmark's size.  Null and empty texts and items match nothing; items
-    shorter than ``n`` words are one shingle; repeated rows return repeatedly.
+    ``docs(doc_id, text)`` is read once for each ITEMS_A_PASS items or CHARS_A_PASS
+    characters of ``benchmark(item_id, text)``; workers and driver hold one such block of
+    items at a time.  Null and empty texts and items match nothing; items shorter than
+    ``n`` words are one shingle; repeated rows of either table return repeatedly.
     """
-    spark = docs.sparkSession
     kind, item_kind = (d.schema[c].dataType.simpleString() for d, c in ((docs, "doc_id"), (benchmark, "item_id")))
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     schema = f"doc_id {kind}, item_id {item_kind}, similarity double, first_word int, words int"
-    items = benchmark.select("item_id", "text").where("text is not null")
-    out, held = None, []
-
-    def one_pass(block):
-        index = spark.sparkContext.broadcast(block)
-        cache: list[Index] = []
 
+    def one_pass(index: Callable[[], Index]) -> DataFrame:
         def run(batches: Iterable[pa.RecordBatch]):
-            if not cache:
-                cache.append(Index(index.value, n))
             for batch in batches:
                 rows: list[list] = [[] for _ in range(5)]
                 for doc, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    for item, (s, start, words) in cache[0].matches(text, threshold).items():
-                        for column, value in zip(rows, (doc, item, s, start, words), strict=True):
+                    for i, (s, start, words) in index().matches(text, threshold).items():
+                        for column, value in zip(rows, (doc, index().ids[i], s, start, words), strict=True):
                             column.append(value)
                 types = [batch.schema.field(0).type, item_type, pa.float64(), pa.int32(), pa.int32()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types, strict=True)], ["doc_id", "item_id", "similarity", "first_word", "words"])
 
         return map_arrow(docs.select("doc_id", "text"), run, schema)
 
-    item_type = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}[item_kind]
-    for row in items.toLocalIterator():
-        held.append((row["item_id"], row["text"]))
-        if len(held) == ITEMS_A_PASS:
-            out = one_pass(held) if out is None else out.union(one_pass(held))
-            held = []
-    if held or out is None:
-        out = one_pass(held) if out is None else out.union(one_pass(held))
-    return out
+    found = [one_pass(index) for index in _passes(benchmark, n)]
+    if not found:
+        return docs.sparkSession.createDataFrame([], schema)
+    return reduce(DataFrame.union, found)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` that match no benchmark item."""
-    leaks = contaminated(docs, benchmark, n, threshold).select("doc_id").distinct()
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["doc_id"]), "left_anti").select(*docs.columns)
+    """The rows of ``docs`` that match no item, each judged by its own text: rows that share a
+    doc_id with a leaking row, or have none, stay if they are clean.  Rows pass through whole
+    and are not exchanged."""
+    text = docs.columns.index("text")
+
+    def clean(index: Callable[[], Index]):
+        def run(batches: Iterable[pa.RecordBatch]):
+            for batch in batches:
+                yield batch.filter(pa.array([not index().matches(t, threshold) for t in batch.column(text).to_pylist()], pa.bool_()))
+
+        return run
+
+    out = docs
+    for index in _passes(benchmark, n):
+        out = map_arrow(out, clean(index), docs.schema)
+    return out
