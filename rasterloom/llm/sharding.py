@@ -39,20 +39,21 @@ def communication_matrix(rows: list[int], shards: int, seed: int) -> np.ndarray:
 
 
 def _hypergeometric(rng: np.random.Generator, good: int, bad: int, n: int) -> int:
-    """One exact draw; beyond the generator's range of 10**9 rows in lots drawn as binomials, within bounds."""
-    if n == 0 or good == 0:
-        return 0
-    if bad == 0:
-        return n
-    if good + bad < 10**9:
-        return int(rng.hypergeometric(good, bad, n))
-    total, parts = 0, -(-(good + bad) // 500_000_000)
-    for k in range(parts):
-        lot = n // (parts - k)
-        draw = int(rng.binomial(lot, good / (good + bad))) if lot else 0
-        draw = min(max(draw, lot - bad), good)
-        total, good, bad, n = total + draw, good - draw, bad - (lot - draw), n - lot
-    return total
+    """One draw by inversion, to double precision, for populations of any size.
+
+    Weights relative to the mode come from the ratio of neighbours; beyond 12 deviations
+    and 40 places they are below 1e-30 of the whole.
+    """
+    low, high, total = max(0, n - bad), min(good, n), good + bad
+    if low == high:
+        return low
+    mode = (n + 1) * (good + 1) // (total + 2)
+    reach = 40 + int(12 * (n * (good / total) * (bad / total) * ((total - n) / max(1, total - 1))) ** 0.5)
+    first, last = max(low, mode - reach), min(high, mode + reach)
+    x = np.arange(first, last, dtype=np.float64)
+    logs = np.concatenate([[0.0], np.cumsum(np.log(good - x) + np.log(n - x) - np.log(x + 1) - np.log(bad - n + x + 1))])
+    sums = np.cumsum(np.exp(logs - logs.max()))
+    return first + int(np.searchsorted(sums, rng.random() * sums[-1], "right"))
 
 
 def shard(docs: DataFrame, shards: int = 24, seed: int = 20240229) -> DataFrame:
