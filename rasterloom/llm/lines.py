@@ -47,9 +47,13 @@ def line_dedup(docs: DataFrame, run: int = 3, keep_text: bool = False) -> DataFr
     met = windows.join(prints, "print")
     first = met.groupBy("print", "full").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     later = met.join(first, ["print", "full"]).where(place > F.col("first")).select("rid", F.explode("at").alias("i"))
-    dead = later.groupBy("rid").agg(F.collect_set("i").alias("dead"))
+    dead = later.groupBy("rid").agg(F.sort_array(F.collect_set("i")).alias("dead"))
 
-    kept = F.expr(f"filter({_lines()}, (x, i) -> dead is null or not array_contains(dead, i))")
+    # one flag a line from the sorted places, so that a text of many lines takes time in proportion
+    gap = "(a, b) -> concat(if(a >= 0, array(true), cast(array() as array<boolean>)), array_repeat(false, b - a - 1))"
+    flags = f"flatten(zip_with(concat(array(-1), dead), concat(dead, array(size({_lines()}))), {gap}))"
+    marked = f"filter(zip_with({_lines()}, {flags}, (x, gone) -> named_struct('x', x, 'gone', gone)), s -> not s.gone)"
+    kept = F.expr(f"if(dead is null, {_lines()}, transform({marked}, s -> s.x))")
     out = base.join(dead, "rid", "left").withColumn("kept", kept)
     text = F.array_join("kept", "\n")
     result = out.select(

@@ -447,3 +447,60 @@ def test_pipeline(spark):
             assert len({c for _, _, c in brute_components(left, 5, 80)}) == len(left)
         docs, before = out, out.count()
     assert p.run(spark, data).select("doc_id").distinct().count() == before
+
+
+def test_large_hypergeometric():
+    """One sampler for every size: exact sums, and the law of small and of very large populations."""
+    rng = np.random.default_rng(2)
+    rows = [3 * 10**9, 10**9 + 7, 5, 0]
+    m = sharding.communication_matrix(rows, 24, 3)
+    assert m.sum(axis=1).tolist() == rows and m.sum(axis=0).max() - m.sum(axis=0).min() <= 1
+    for good, bad, n in ((5, 7, 6), (400, 100, 450), (10**6, 10**8, 5000), (10**12, 3 * 10**12, 10**6)):
+        draws = np.array([sharding._hypergeometric(rng, good, bad, n) for _ in range(3000)], float)
+        p, total = good / (good + bad), good + bad
+        deviation = (n * p * (1 - p) * (total - n) / (total - 1)) ** 0.5
+        assert abs(draws.mean() - n * p) < 4 * deviation / 3000**0.5 and 0.93 < draws.std() / deviation < 1.07
+        assert draws.min() >= max(0, n - bad) and draws.max() <= min(good, n)
+
+
+def test_same_ids(spark):
+    """Rows that share a doc_id, or have none, are judged by their own texts, in the operators and in the stages."""
+    import corpus_pipeline as p
+
+    item, clean, other = prose(40, 50), prose(60, 70), prose(60, 71)
+    rows = [(1, item), (1, clean), (None, item), (None, clean), (3, other), (5, other + " more"), (5, prose(60, 72)), (6, None), (7, "")]
+    names = "doc_id long, text string, score int, toxic int, side string, kept string, __id int, predicted int, similarity int"
+    docs = spark.createDataFrame([(*r, 1, 1, "a", "b", 2, 3, 4) for r in rows], names).repartition(3)
+    items = spark.createDataFrame([(1, item), (1, item), (2, None), (2, "")], "item_id smallint, text string")
+    got = decontam.decontaminate(docs, items)
+    assert got.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in got.collect()) == Counter(r for r in rows if r[1] != item)
+    assert Counter(r["doc_id"] for r in decontam.contaminated(docs, items).collect()) == {1: 2, None: 2}
+    near = p.drop_near_copies(spark, docs, "")
+    assert near.columns == docs.columns
+    left = Counter((r["doc_id"], r["text"]) for r in near.collect())
+    assert left == Counter([(1, item), (1, clean), (3, other), (5, rows[6][1]), (6, None), (7, "")])
+    copies = Counter((r["doc_id"], r["text"]) for r in p.drop_copies(spark, docs, "").collect())
+    assert copies == Counter([(1, item), (1, clean), *rows[4:8]])
+    labels = spark.createDataFrame([(1, 1), (3, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert toxicity.clean(docs, model, 1.1).count() == len(rows) and toxicity.scored(docs, model).count() == len(rows)
+    for stage in (p.drop_near_copies, p.drop_copies):
+        assert stage(spark, docs.limit(0), "").count() == 0
+
+
+@pytest.mark.parametrize("page", ["", "a b", "x\r\nX-Page-ID: 7", None, "ü%"])
+def test_page_ids(spark, page):
+    rows = [(page, "http://a", "one"), ("z", "http://b", "one"), (page, "http://c", None)]
+    got = warc.round_trip(spark.createDataFrame(rows, "page_id string, url string, html string")).collect()
+    assert Counter((r["page_id"], r["record_type"], r["refers_to"], r["payload_bytes"]) for r in got if r["payload_bytes"]) in (
+        Counter([(page, "revisit", "z", 3), ("z", "response", None, 3)]), Counter([(page, "response", None, 3), ("z", "revisit", page, 3)]),
+    )
+    assert [(r["page_id"], r["record_type"]) for r in got if not r["payload_bytes"]] == [(page, "response")]
+
+
+def test_many_lines(spark):
+    """Half a million repeated lines in one text."""
+    text = "\n".join(["same line"] * 500_000 + ["end"])
+    got = lines.line_dedup(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), run=1).collect()
+    assert {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in got} == {1: (500_001, 499_999), 2: (1, 0)}
