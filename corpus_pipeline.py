@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rasterloom.llm import decontam, exact, jaccard, packing, store, toxicity
@@ -10,40 +10,59 @@ from rasterloom.llm.queries import table, tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier does not reject."""
+    """Documents that the compression classifier does not reject.
+
+    Every row is judged by its own text; null and empty texts score as texts without any
+    gain and stay.  Repeated rows share their fate; no rows give no rows; other columns
+    pass through, whatever their names.
+    """
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
-    return toxicity.scored(docs, model, threshold=0.3).where("predicted = 0").select(*docs.columns)
+    return toxicity.clean(docs, model, threshold=0.3)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of equal texts: the one with the smallest doc_id."""
-    kept = store.written(exact.exact_dedup(docs, keep="smallest").where("kept").select("doc_id", "text_sha256"), "kept")
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
-    met = F.col("doc_id").eqNullSafe(F.col("__id")) & (digest == F.col("__sha"))
-    rows = docs.join(kept.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")), met, "left_semi")
-    repeated = docs.groupBy("doc_id").count().where("count > 1")
-    return rows if repeated.isEmpty() else rows.dropDuplicates(["doc_id", "text"])
+    """One row of each group of equal texts: the one with the smallest doc_id.
+
+    Null counts as the empty text.  A null doc_id stays only in a group without another; of
+    rows repeated with doc_id and text one stays, any of them if other columns differ.
+    """
+    kept = exact.exact_dedup(docs, keep="smallest").where("kept").select("doc_id", "text_sha256")
+    return _rows_of(docs, kept, F.sha2(F.coalesce(docs["text"], F.lit("")), 256))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of five-word shingle similarity 0.8: the smallest doc_id."""
-    joined = jaccard.jaccard_join(docs, n=5, percent=80)
-    return _rows_of(docs, joined.where("doc_id <=> component_id").select("doc_id").distinct())
+    """One document of each component of five-word shingle similarity 0.8: the smallest doc_id.
+
+    Rows count as documents by doc_id and text together, so rows that share a doc_id, or
+    have none, are judged by their own texts.  Texts without words (null, empty, blank) all
+    stay; of rows repeated with doc_id and text one stays.
+    """
+    mark = F.unhex(F.md5(F.coalesce(docs["text"], F.lit(""))))
+    key = F.struct(docs["doc_id"].isNull().alias("last"), docs["doc_id"].alias("doc_id"), mark.alias("mark"))
+    joined = jaccard.jaccard_join(docs.select(key.alias("doc_id"), "text"), n=5, percent=80)
+    kept = joined.where("doc_id <=> component_id").select("doc_id.doc_id", "doc_id.mark").distinct()
+    return _rows_of(docs, kept, mark)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a benchmark item."""
+    """Documents without a benchmark item; every row is judged by its own text, null and empty texts stay."""
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"), n=5, threshold=0.8)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token pieces and their places in sequences of 1024."""
+    """Token pieces and their places in sequences of 1024; a null text counts as empty, repeated rows all return."""
     return packing.pack(docs, tokenizer_path(), limit=1024, end_id=2)
 
 
-def _rows_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows whose doc_id is in ``ids`` (null matches null)."""
-    return docs.join(ids.select(F.col("doc_id").alias("__id")), F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
+def _rows_of(docs: DataFrame, kept: DataFrame, mark: Column) -> DataFrame:
+    """Rows of ``docs`` whose (doc_id, ``mark``) is in ``kept`` (null matches null), each pair of doc_id and text once."""
+    names = {c.lower() for c in docs.columns}
+    free = next(x for x in ("kept" + "_" * k for k in range(len(names) + 1)) if not any(c.startswith(x) for c in names))
+    kept = store.written(kept.toDF(f"{free}id", f"{free}mark"), "kept")
+    met = docs["doc_id"].eqNullSafe(F.col(f"{free}id")) & (mark == F.col(f"{free}mark"))
+    rows = docs.join(kept, met, "left_semi")
+    repeated = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return rows if repeated.isEmpty() else rows.dropDuplicates(["doc_id", "text"])
 
 
 STAGES = [
