@@ -79,3 +79,10 @@ def large_object(boxes: DataFrame, image: str, area: str, order: Column, ratio:
     largest = boxes.groupBy(image).agg(F.max(area).alias("__m"))
     kept = boxes.join(largest, image).where(F.col(area) >= ratio * F.col("__m")).drop("__m")
     return kept.groupBy(image).agg(F.min_by(F.struct(*[c for c in boxes.columns if c != image]), order).alias("b")).select(image, "b.*")
+
+
+def object_box_ok(x: Column, y: Column, w: Column, h: Column, height: int, width: int, least: int, slack: int = 0) -> Column:
+    """Whether an object's box is large enough and keeps a 32nd of the image to every border (``slack`` more to the right and below)."""
+    right, bottom = width * 31 // 32 + slack, height * 31 // 32 + slack
+    at_border = (x < width // 32) | (y < height // 32) | (x + w > right) | (y + h > bottom)
+    return ~(F.greatest(w, h) < least) & ~at_border

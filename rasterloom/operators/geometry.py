@@ -112,3 +112,23 @@ def foreground_point(px: DataFrame, image: str, weight: Column, key: Column, see
     race = -F.ln(1.0 - uniform(key, seed)) / F.when(weight > 0, weight)
     best = px.groupBy(image).agg(F.min_by(F.struct("x", "y"), race).alias("p"))
     return best.select(image, (F.col("p.x") / width).alias("u"), (F.col("p.y") / height).alias("v"))
+
+
+def pixel_at(values: Column, u: Column, v: Column, height: int, width: int) -> Column:
+    """The value of a row-major raster at the pixel that holds the point (u, v) in [0, 1)."""
+    return F.get(values, (F.floor(v * height) * width + F.floor(u * width)).cast("int"))
+
+
+def unproject_uv(u: Column, v: Column, depth: Column, height: int, width: int, fov: float = 55.0) -> list[Column]:
+    """The point at a depth behind image coordinates (u, v): x right, y down, z forward."""
+    across = 2 * math.tan(math.radians(fov / 2))
+    return [(u - 0.5) * depth * across, (v - 0.5) * depth * across * height / width, depth]
+
+
+def flow(px: DataFrame, image: str, value: str, u: Column, v: Column, height: int, width: int) -> DataFrame:
+    """``flow``: the value sampled where each pixel (u, v) points to, less the pixel's own."""
+    place = F.col("y") * width + F.col("x")
+    points = px.select(image, place.alias("id"), u.alias("u"), v.alias("v"))
+    got = grid_sample(px, points, image, value, height, width)
+    own = px.select(image, "y", "x", place.alias("id"), value)
+    return own.join(got, [image, "id"]).withColumn("flow", F.col("sample") - F.col(value))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources import codecs
+
 
 def mask_boxes(px: DataFrame, image: str, flag: Column) -> DataFrame:
     """Inclusive x1, y1, x2, y2 and area per image; an empty mask has zeros."""
@@ -26,18 +28,32 @@ def rle_encode(px: DataFrame, image: str, flag: Column, height: int) -> DataFram
     bits = px.groupBy(image).agg(F.transform(F.array_sort(F.collect_list(item)), lambda s: s["f"]).alias("b"))
     starts = "filter(sequence(0, size(b) - 1), i -> if(i = 0, true, b[i] != b[greatest(i - 1, 0)]))"
     runs = bits.select(image, F.col("b"), F.expr(f"concat({starts}, array(size(b)))").alias("s"))
-    counts = F.expr("transform(sequence(1, size(s) - 1), i -> s[i] - s[i - 1])")
+    counts = F.expr("zip_with(slice(s, 2, size(s) - 1), slice(s, 1, size(s) - 1), (a, b) -> a - b)")
     return runs.select(image, F.when(F.expr("b[0]"), F.concat(F.array(F.lit(0)), counts)).otherwise(counts).alias("counts"))
 
 
 def rle_decode(rle: DataFrame, image: str, height: int) -> DataFrame:
     """(image, y, x) of every set pixel."""
-    ends = F.expr("transform(sequence(1, size(counts)), i -> aggregate(slice(counts, 1, i), 0, (a, c) -> a + c))")
-    runs = rle.withColumn("e", ends).select(image, "counts", F.posexplode("e").alias("i", "end")).where("i % 2 = 1 and counts[i] > 0")
-    p = runs.select(image, F.explode(F.expr("sequence(end - counts[i], end - 1)")).alias("p"))
+    runs = rle.select(image, F.posexplode("counts").alias("i", "n"))
+    ends = runs.withColumn("end", F.sum("n").over(W.partitionBy(image).orderBy("i").rowsBetween(W.unboundedPreceding, 0)))
+    p = ends.where("i % 2 = 1 and n > 0").select(image, F.explode(F.expr("sequence(end - n, end - 1)")).alias("p"))
     return p.select(image, F.expr(f"p % {height}").alias("y"), F.expr(f"p div {height}").alias("x"))
 
 
+def from_annotations(records: DataFrame, image: str, json: str, height: int) -> DataFrame:
+    """(image, y, x) of every set pixel of masks in annotation JSON, whose run lengths are text."""
+    segmentation = F.from_json(json, "segmentation struct<size:array<int>,counts:string>")["segmentation"]
+    return rle_decode(codecs.from_text_counts(records.select(image, segmentation["counts"].alias("text")), image), image, height)
+
+
+def object_measures(px: DataFrame, image: str, flag: Column, disparity: str) -> DataFrame:
+    """x, y, w, h of an image's mask, and its mean disparity over the image's largest."""
+    edge = lambda f, c: f(F.when(flag, F.col(c)))
+    near = F.avg(F.when(flag, F.col(disparity))) / F.max(disparity)
+    sides = [(edge(F.max, c) - edge(F.min, c) + 1).alias(n) for c, n in (("x", "w"), ("y", "h"))]
+    return px.groupBy(image).agg(edge(F.min, "x").alias("x"), edge(F.min, "y").alias("y"), *sides, near.alias("near"))
+
+
 def rle_area(counts: Column) -> Column:
     return F.aggregate(F.filter(counts, lambda c, i: i % 2 == 1), F.lit(0), lambda a, c: a + c)
 

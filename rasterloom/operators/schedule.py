@@ -116,3 +116,23 @@ def attractor(centre: Column, points: Column, alpha: float = 300.0, gamma: int =
     pull = lambda d: F.exp(-alpha * F.pow(F.abs(d), gamma)) * d if kind == "exp" else d / (1.0 + alpha * F.pow(d, gamma))
     total = F.aggregate(points, F.lit(0.0), lambda a, q: a + pull(q - centre))
     return centre + (total / F.size(points) if mean else total)
+
+
+def lookup(rows: DataFrame, table: DataFrame, step: str) -> DataFrame:
+    """Rows with the schedule's columns at their own step; the table has one row a step."""
+    table = table.withColumnRenamed("t", "__t")
+    return rows.join(F.broadcast(table), rows[step] == F.col("__t")).drop("__t")
+
+
+def ddpm_step(x: Column, eps: Column, noise: Column, step: str, clip: bool = False) -> Column:
+    """x at the step before, of rows that :func:`lookup` has given the posterior's columns; no noise at step 0."""
+    ab = F.col("alpha_bar")
+    x0 = F.sqrt(1 / ab) * x - F.sqrt(1 / ab - 1) * eps
+    if clip:
+        x0 = F.greatest(F.least(x0, F.lit(1.0)), F.lit(-1.0))
+    return F.col("coef_x0") * x0 + F.col("coef_xt") * x + F.when(F.col(step) > 0, F.exp(0.5 * F.col("log_variance")) * noise).otherwise(0.0)
+
+
+def sorted_centres(centres: Column, least: float, most: float) -> Column:
+    """Bin centres in rising order within bounds."""
+    return F.transform(F.array_sort(centres), lambda c: F.greatest(F.least(c, F.lit(most)), F.lit(least)))

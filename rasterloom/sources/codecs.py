@@ -6,6 +6,10 @@ import struct
 import zlib
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+
+from ..runtime import map_arrow
 
 #: Fixed values of the PNG format.
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
@@ -120,3 +124,26 @@ def unpack_counts(text: str) -> list[int]:
             counts.append(x + counts[-2] if len(counts) > 2 else x)
             x = shift = 0
     return counts
+
+
+def with_text_counts(rle: DataFrame, image: str) -> DataFrame:
+    """(image, text) of ``rle(image, counts)``."""
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack_counts(c) for c in b.column(1).to_pylist()], pa.string())], [image, "text"])
+
+    kind = rle.schema[image].dataType.simpleString()
+    return map_arrow(rle.select(image, "counts"), run, f"{image} {kind}, text string")
+
+
+def from_text_counts(coded: DataFrame, image: str) -> DataFrame:
+    """(image, counts) of ``coded(image, text)``; null stays null."""
+
+    def run(batches):
+        for b in batches:
+            counts = [None if t is None else unpack_counts(t) for t in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.list_(pa.int32()))], [image, "counts"])
+
+    kind = coded.schema[image].dataType.simpleString()
+    return map_arrow(coded.select(image, "text"), run, f"{image} {kind}, counts array<int>")
