@@ -94,3 +94,80 @@ def resource(spec: Column) -> Column:
 def nan_columns(names: list[str]) -> Column:
     """Names of the columns that hold NaN in this row."""
     return F.filter(F.array(*[F.when(F.isnan(n), F.lit(n)) for n in names]), lambda c: c.isNotNull())
+
+
+# ---- configuration on the driver ----
+
+
+class Settings(dict):
+    """A dictionary whose keys are attributes too, inner dictionaries and those in lists included."""
+
+    def __init__(self, *args, **kwargs):
+        super().__init__()
+        self.update(*args, **kwargs)
+
+    @classmethod
+    def _inner(cls, value):
+        if isinstance(value, dict) and not isinstance(value, cls):
+            return cls(value)
+        return type(value)(cls._inner(v) for v in value) if isinstance(value, (list, tuple)) else value
+
+    def __setitem__(self, key, value):
+        super().__setitem__(key, self._inner(value))
+
+    def update(self, *args, **kwargs):
+        for key, value in dict(*args, **kwargs).items():
+            self[key] = value
+
+    def __getattr__(self, name):
+        try:
+            return self[name]
+        except KeyError:
+            raise AttributeError(name) from None
+
+    def __setattr__(self, name, value):
+        self[name] = value
+
+
+def typed(text):
+    """A string as integer, else float, else itself; other values unchanged."""
+    for kind in (int, float) if isinstance(text, str) else ():
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return text
+
+
+def listed(value, kind=int) -> list:
+    """A list of ``kind``, also from text parted by commas."""
+    out = [kind(v) for v in value.split(",")] if isinstance(value, str) else value
+    if not isinstance(out, list) or not all(isinstance(v, kind) for v in out):
+        raise TypeError(f"not a list of {kind.__name__}: {value!r}")
+    return out
+
+
+def command_line(args: list[str]) -> dict:
+    """``--k=v`` or ``--k v`` pairs with typed values."""
+    flat = [part for a in args for part in a.split("=", 1)]
+    return {k.replace("--", ""): typed(v) for k, v in zip(flat[::2], flat[1::2], strict=False)}
+
+
+def one_of(name: str, value, choices):
+    """The value, an error if it is none of the choices."""
+    if value not in choices:
+        raise ValueError(f"{name} {value!r} is none of {list(choices)}")
+    return value
+
+
+def settle(layers: list[dict], overrides: dict, flags: tuple[str, ...] = (), lists: tuple[str, ...] = ()) -> Settings:
+    """Configuration of layers, later ones first, and overrides above all; an override ``__a__b`` of ``1;2`` sets a and b too."""
+    out: dict = {}
+    for layer in (*layers, overrides):
+        out |= layer
+    for key, value in overrides.items():
+        if key.startswith("__"):
+            out |= dict(zip([k for k in key.split("__") if k], str(value).split(";"), strict=True))
+    out = {k: typed(v) for k, v in out.items()}
+    out |= {k: bool(out[k]) for k in flags if k in out}
+    return Settings(out | {k: listed(out[k]) for k in lists if k in out})

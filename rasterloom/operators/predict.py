@@ -17,14 +17,17 @@ from ..runtime import map_arrow
 from .raster import label_regions
 
 _LOADED: dict[tuple, object] = {}
+_ORIGINS: dict[str, tuple[str, str]] = {}
 
 
 def shared(name: str, loader: Callable, *args):
-    """The component made by ``loader(*args)``, once per worker; the same name with another loader or arguments is another component."""
-    key = (name, loader.__module__, loader.__qualname__, args)
-    if key not in _LOADED:
-        _LOADED[key] = loader(*args)
-    return _LOADED[key]
+    """The component made by ``loader(*args)``, once per worker; one name with two loaders is an error."""
+    origin = (loader.__module__, loader.__qualname__)
+    if _ORIGINS.setdefault(name, origin) != origin:
+        raise ValueError(f"{name} already comes from {_ORIGINS[name]}")
+    if (name, args) not in _LOADED:
+        _LOADED[name, args] = loader(*args)
+    return _LOADED[name, args]
 
 
 def _stub_depth():
@@ -108,7 +111,7 @@ def caption(rows: DataFrame, batch_size: int = 32) -> DataFrame:
 def _region_rows(rows: DataFrame, height: int, width: int, fields: str, f) -> DataFrame:
     """Apply ``f(mask) -> values`` to ``rows(id, values array<double>)`` taken as masks (above 0)."""
     names = [x.split()[0] for x in fields.split(", ")]
-    types = [{"long": pa.int64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "double": pa.float64()}[x.split(" ", 1)[1]] for x in fields.split(", ")]
+    types = [{"long": pa.int64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "double": pa.float64(), "string": pa.string()}[x.split(" ", 1)[1]] for x in fields.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
@@ -138,7 +141,53 @@ def contour(rows: DataFrame, height: int, width: int, radius: int) -> DataFrame:
     from .raster import contour_ratios
 
     def f(a):
-        occluder, background = contour_ratios(a > 0, a - a.min(), radius)
+        d = a - a.min()
+        occluder, background = contour_ratios(a > 0, d / (d.max() or 1.0), radius)
         return occluder, background
 
     return _region_rows(rows, height, width, "occluder double, background double", f)
+
+
+#: Tests of an object mask, in the order in which they are tried.
+OBJECT_TESTS = ("size", "border", "pieces", "distance", "surroundings")
+
+
+def failed_test(mask: np.ndarray, disparity: np.ndarray, radius: int, least: int, near: float = 0.5, edge: float = 0.05, occluder: float = 0.01, background: float = 0.75) -> str | None:
+    """The first of OBJECT_TESTS that an object mask fails on a disparity scaled to a largest value of 1; None if it stays.
+
+    Size: a side of ``least`` pixels.  Border: a 32nd of the image free on each side.
+    Pieces: one 8-connected region.  Distance: mean disparity of ``near``.  Surroundings:
+    few places with something in front, most with only background behind; a mask without
+    contour passes.
+    """
+    from .raster import contour_ratios
+
+    ys, xs = np.nonzero(mask)
+    if not len(ys):
+        return "size"
+    (h, w), x, y = mask.shape, int(xs.min()), int(ys.min())
+    across, down = int(xs.max()) - x + 1, int(ys.max()) - y + 1
+    if max(across, down) < least:
+        return "size"
+    if x < w // 32 or y < h // 32 or x + across > w * 31 // 32 or y + down > h * 31 // 32:
+        return "border"
+    reach = radius + 16
+    window = slice(max(0, y - reach), min(h, y + down + reach)), slice(max(0, x - reach), min(w, x + across + reach))
+    mask, disparity = mask[window], disparity[window]
+    if label_regions(mask)[1] > 1:
+        return "pieces"
+    if disparity[mask].mean() < near:
+        return "distance"
+    front, behind = contour_ratios(mask, disparity, radius, edge)
+    return "surroundings" if front > occluder or behind < background else None
+
+
+def object_masks(rows: DataFrame, height: int, width: int, radius: int, least: int, grow: int = 1) -> DataFrame:
+    """id, failed (null: kept) of ``rows(id, values array<double>)``: the mask above 0 on the raster's own values as disparity.
+    Each pixel stands for ``grow`` by ``grow`` pixels."""
+
+    def f(a):
+        d = np.kron(a - a.min(), np.ones((grow, grow)))
+        return (failed_test(np.kron(a > 0, np.ones((grow, grow))) > 0, d / (d.max() or 1.0), radius, least),)
+
+    return _region_rows(rows, height, width, "failed string", f)

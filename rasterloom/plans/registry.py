@@ -53,10 +53,14 @@ def part_shard(s, d):
 
 
 @query("""WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx FROM orders)
-SELECT i AS pos, row_idx, o_orderkey FROM range(300) r(i) JOIN o ON o.row_idx = (i * 7) % 100""")
+SELECT pos, a.row_idx, a.o_orderkey FROM (SELECT row_idx * 2 + i AS pos, row_idx * 7 % (SELECT count(*) FROM orders) AS idx FROM o, range(2) r(i)) q JOIN o a ON a.row_idx = q.idx""")
 def subset_gather(s, d):
-    wanted = s.range(300).select(F.col("id").alias("pos"), (F.col("id") * 7 % 100).alias("idx"))
-    return dataset.subset(dataset.dense_index(_orders(s, d).select("o_orderkey"), "o_orderkey"), wanted)
+    """Two places for every order, out of the whole table."""
+    index = dataset.dense_index(_orders(s, d).select("o_orderkey"), "o_orderkey")
+    total = F.broadcast(_orders(s, d).agg(F.count(F.lit(1)).alias("total")))
+    twice = index.join(total).select("row_idx", "total", F.explode(F.array(F.lit(0), F.lit(1))).alias("i"))
+    wanted = twice.select((F.col("row_idx") * 2 + F.col("i")).alias("pos"), (F.col("row_idx") * 7 % F.col("total")).alias("idx"))
+    return dataset.subset(index, wanted)
 
 
 @query("SELECT o_orderkey, i AS view_idx FROM orders, range(4) r(i)")
@@ -234,15 +238,6 @@ def erode(s, d):
     return masks.erode(images.pixels(s, d).select("img", "y", "x", (F.col("v") > 0).cast("int").alias("m")), "img", "m", 1)
 
 
-@query(f"""WITH {PX}, q AS (SELECT img, avg(CASE WHEN v > 0 THEN (2 + v) END) / max(2 + v) AS near, count(*) FILTER (v > 0) AS area, min(CASE WHEN v > 0 THEN x END) AS x1 FROM px GROUP BY img)
- SELECT img, round(near, 6) AS near, area FROM q WHERE near >= 0.5 AND area >= 20 AND x1 >= 0""")
-def object_mask_cheap_filters(s, d):
-    px = images.pixels(s, d).withColumn("disp", 2 + F.col("v"))
-    box = masks.mask_boxes(px, "img", F.col("v") > 0)
-    level = px.groupBy("img").agg((F.avg(F.when(F.col("v") > 0, F.col("disp"))) / F.max("disp")).alias("near"))
-    return box.join(level, "img").where("near >= 0.5 and area >= 20 and x1 >= 0").select("img", r6("near"), "area")
-
-
 # ---- depth ----
 
 
@@ -369,7 +364,7 @@ def blur(s, d):
     return raster.blur(images.pixels(s, d), "img", "v").select("img", "y", "x", (F.round("v", 6) + 0.0).alias("v"))
 
 
-@query(f"WITH {PX} SELECT a.img, a.y, a.x, round((a.v + b.v * b.v) / 2, 6) AS v FROM px a JOIN px b ON a.img = b.img AND a.y = b.y AND b.x = 7 - a.x")
+@query("SELECT vec_id AS img, i // 8 AS y, i % 8 AS x, round((embedding[i + 1]::DOUBLE + embedding[i // 8 * 8 + 8 - i % 8]::DOUBLE ** 2) / 2, 6) AS v FROM embeddings, range(64) r(i)")
 def flip_average(s, d):
     px = images.pixels(s, d).withColumn("q", F.col("v") * F.col("v"))
     return raster.flip_average(px, "img", "v", "q", 8).select("img", "y", "x", r6("v"))
@@ -411,17 +406,25 @@ def mask_product(s, d):
     return images.pixels(s, d).select("img", "y", "x", F.when(F.col("v") > 0, F.round("v", 6)).otherwise(0.0).alias("v"))
 
 
-@query()
+def _regions(sign: str) -> str:
+    return f"""{PX}, m AS (SELECT img, y, x, p FROM px WHERE v {sign} 0), e AS (SELECT a.img, a.p AS a, b.p AS b FROM m a JOIN m b ON a.img = b.img AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1),
+ r AS (SELECT img, p AS a, p AS b FROM m UNION SELECT r.img, r.a, e.b FROM r JOIN e ON e.img = r.img AND e.a = r.b), l AS (SELECT img, a AS p, min(b) AS k FROM r GROUP BY img, a),
+ n AS (SELECT img, k, count(*) AS size FROM l GROUP BY img, k), t AS (SELECT img AS id, count(*) FILTER (v > 0) AS whole FROM px GROUP BY img)"""
+
+
+@query(f"WITH RECURSIVE {_regions('>')} SELECT id, count(n.k) AS regions FROM t LEFT JOIN n ON n.img = t.id GROUP BY id")
 def region_count(s, d):
     return predict.count_regions(_rasters(s, d), 8, 8)
 
 
-@query()
+@query(f"WITH RECURSIVE {_regions('<=')} SELECT id, count(n.k) > 0 AS changed, (any_value(whole) + coalesce(sum(size), 0))::BIGINT AS area FROM t LEFT JOIN n ON n.img = t.id AND size < 4 GROUP BY id")
 def small_regions_holes(s, d):
     return predict.clean_regions(_rasters(s, d), 8, 8, 4, "holes")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_regions('>')} SELECT id, count(*) FILTER (size < 4) > 0 AS changed,
+ coalesce(CASE WHEN count(*) FILTER (size < 4) = 0 OR count(*) FILTER (size >= 4) = 0 AND count(n.k) = 0 THEN any_value(whole) ELSE coalesce(sum(size) FILTER (size >= 4), max(size)) END, 0)::BIGINT AS area
+FROM t LEFT JOIN n ON n.img = t.id GROUP BY id""")
 def small_regions_islands(s, d):
     return predict.clean_regions(_rasters(s, d), 8, 8, 4, "islands")
 
@@ -431,6 +434,11 @@ def contour_ratios(s, d):
     return predict.contour(_rasters(s, d), 8, 8, 2)
 
 
+@query()
+def object_masks(s, d):
+    return predict.object_masks(_rasters(s, d), 8, 8, 2, 12, grow=8)
+
+
 # ---- geometry ----
 
 
@@ -495,18 +503,14 @@ def rand_normal_hash(s, d):
     return _orders(s, d).select("o_orderkey", F.round(30.0 * normal(F.col("o_orderkey"), "yaw"), 6).alias("yaw"))
 
 
-@query()
-def random_pose(s, d):
-    p = geometry.pose(F.col("o_orderkey"), "pose")
-    rows = geometry.rotation(p["yaw"], p["pitch"], p["roll"])
-    move = geometry.turn_about(rows, [p["u"] - 0.5, p["v"] - 0.5, 2.0 * p["depth_factor"]], p["distance_factor"])
-    return _orders(s, d).select("o_orderkey", F.array(*[F.array(*r) for r in rows]).alias("r"), F.array(*move).alias("t"))
-
-
-@query(f"WITH {PX} SELECT img, y, x, (v > 0) AND abs(v) * 2 > 0.5 AND (0.1 - v) < 0 AND x > 0 AS m FROM px")
+@query(f"""WITH {PX}, q AS (SELECT img, y, x, v, greatest(1 + 2 * v, 1e-6) AS g FROM px),
+ n AS (SELECT a.img, a.y, a.x, count(b.g) < 3 AS smooth FROM q a LEFT JOIN q b ON a.img = b.img AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1
+  AND NOT (a.x = b.x AND a.y = b.y) AND abs(a.g - b.g) > 0.2 AND abs(1 / a.g - 1 / b.g) > 0.2 GROUP BY a.img, a.y, a.x)
+ SELECT img, y, x, (v > 0) AND abs(v) * 2 > 0.5 AND (0.1 - v) < 0 AND smooth AS m FROM q JOIN n USING (img, y, x)""")
 def warp_mask(s, d):
     v = F.col("v")
-    return images.pixels(s, d).select("img", "y", "x", geometry.warp_mask(v > 0, F.abs(v) * 2, 0.1 - v, F.col("x") > 0).alias("m"))
+    px = depth.discontinuity(images.pixels(s, d).withColumn("g", 1 + 2 * v), "img", "g")
+    return px.select("img", "y", "x", geometry.warp_mask(v > 0, F.abs(v) * 2, 0.1 - v, F.col("smooth")).alias("m"))
 
 
 # ---- schedules ----
@@ -604,9 +608,11 @@ def sinusoid(s, d):
     return s.range(100).select(F.col("id").alias("t"), F.transform(schedule.sinusoid(F.col("id"), 8), lambda v: F.round(v, 6)).alias("e"))
 
 
-@query()
+@query("""WITH q AS (SELECT i / 10.0::DOUBLE AS p, k, 15 * ln(15 + 1e-7) - k * ln(k + 1e-7) - (15 - k + 1e-7) * ln(15 - k + 2e-7) + k * ln(i / 10.0::DOUBLE) + (15 - k) * ln(1 - i / 10.0::DOUBLE) AS l
+ FROM range(1, 10) a(i), range(16) b(k)), e AS (SELECT p, k, exp(l - max(l) OVER (PARTITION BY p)) AS x FROM q), n AS (SELECT p, k, round(x / sum(x) OVER (PARTITION BY p), 6) AS x FROM e)
+SELECT p, list(x ORDER BY k) AS q FROM n GROUP BY p""")
 def log_binomial(s, d):
-    return s.range(1, 10).select((F.col("id") / 10).alias("p"), schedule.log_binomial(F.col("id") / 10, 16).alias("q"))
+    return s.range(1, 10).select((F.col("id") / 10).alias("p"), F.transform(schedule.log_binomial(F.col("id") / 10, 16), lambda v: F.round(v, 6)).alias("q"))
 
 
 @query("""SELECT event_id, round(c + (exp(-300 * (0.2 - c) ** 2) * (0.2 - c) + exp(-300 * (0.6 - c) ** 2) * (0.6 - c)) / 2, 6) AS e,
@@ -721,6 +727,10 @@ def nan_audit(s, d):
 # ---- sinks and predictors ----
 
 
+def _r6_values(df):
+    return df.select("id", F.transform("values", lambda v: F.round(v, 6)).alias("values"))
+
+
 @query(f"WITH {PX} SELECT img, any_value(label) AS label, list(v ORDER BY p) AS v FROM px GROUP BY img")
 def multi_view_sink(s, d):
     return sinks.multi_view(images.pixels(s, d).withColumnRenamed("p", "view_idx"), "img", ["label"], ["v"])
@@ -737,31 +747,36 @@ def encode_png(s, d):
     return sinks.encode_rasters(_rasters(s, d), 8, 8)
 
 
-@query()
+@query(f"WITH {PX}, q AS (SELECT *, avg(v) OVER (PARTITION BY img) AS a, median(v) OVER (PARTITION BY img) AS h FROM px) SELECT img AS id, list(round(1 + abs(v - a), 6) ORDER BY p) AS values FROM q GROUP BY img")
 def predict_depth(s, d):
-    return predict.predict(_rasters(s, d), "depth", 8, 8)
+    return _r6_values(predict.predict(_rasters(s, d), "depth", 8, 8))
 
 
-@query()
+@query(f"WITH {PX}, q AS (SELECT *, avg(v) OVER (PARTITION BY img) AS a, median(v) OVER (PARTITION BY img) AS h FROM px) SELECT img AS id, list(round(1 / (1 + abs(v - a)), 6) ORDER BY p) AS values FROM q GROUP BY img")
 def predict_disparity(s, d):
-    return predict.predict(_rasters(s, d), "disparity", 8, 8)
+    return _r6_values(predict.predict(_rasters(s, d), "disparity", 8, 8))
 
 
-@query()
+@query(f"""WITH {PX}, q AS (SELECT *, avg(v) OVER (PARTITION BY img) AS a, median(v) OVER (PARTITION BY img) AS h FROM px), d AS (SELECT img, p, abs(v - h) AS d FROM q), z AS (SELECT *, min(d) OVER w AS lo, max(d) OVER w AS hi FROM d WINDOW w AS (PARTITION BY img))
+ SELECT img AS id, list(round((d - lo) / (hi - lo), 6) ORDER BY p) AS values FROM z GROUP BY img""")
 def predict_saliency(s, d):
-    return predict.predict(_rasters(s, d), "saliency", 8, 8)
+    return _r6_values(predict.predict(_rasters(s, d), "saliency", 8, 8))
 
 
-@query()
+@query(f"WITH {PX} SELECT img AS id, list(round(v, 6) ORDER BY p) AS values FROM px GROUP BY img")
 def predict_inpaint(s, d):
-    return predict.predict(_rasters(s, d), "inpaint", 8, 8)
+    return _r6_values(predict.predict(_rasters(s, d), "inpaint", 8, 8))
 
 
-@query()
+@query(f"WITH {PX} SELECT img AS id, CASE WHEN avg(v) > 0 THEN 'a bright image' ELSE 'a dark image' END AS caption FROM px GROUP BY img")
 def predict_caption(s, d):
     return predict.caption(_rasters(s, d))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_regions('>')}, b AS (SELECT img, k, count(*) AS area, min(p % 8) AS x, min(p // 8) AS y, max(p % 8) - min(p % 8) AS w, max(p // 8) - min(p // 8) AS h FROM l GROUP BY img, k)
+ SELECT img AS id, row_number() OVER (PARTITION BY img ORDER BY k) AS mask_id, area, x, y, w, h FROM b""")
 def segment_masks(s, d):
     return predict.segment(_rasters(s, d), 8, 8, 0.0)
+
+
+from . import crop_queries  # noqa: E402, F401  (adds its queries)
