@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.rng import uniform
 from . import boxes
 
 
@@ -22,6 +23,33 @@ def window_round(x: Column, y: Column, w: Column, h: Column, width: int, height:
     return [low(x).alias("wx1"), low(y).alias("wy1"), high(x + w, width).alias("wx2"), high(y + h, height).alias("wy2")]
 
 
+def object_crop(box: list[Column], width: Column, height: Column, size: int, key: Column, seed: str) -> list[Column]:
+    """side, left, top of a random square around a box (x1, y1, x2, y2), all within the image and uniform over the integers allowed.
+
+    The side is between the box's (or ``size``) and four times it, within the image; the
+    square holds the box if it is large enough, else lies within the box's reach.
+    """
+    x1, y1, x2, y2 = box
+    short, long = F.least(width, height), F.greatest(y2 - y1, x2 - x1)
+    least = F.least(F.greatest(long, F.lit(size)), short)
+    most = F.greatest(F.least(4 * long, short), F.lit(size))
+    draw = lambda low, high, name: (low + F.floor(uniform(key, seed + name) * (high - low + 1))).cast("int")
+    side = draw(least, most, "size")
+
+    def offset(a, b, extent, name):
+        return draw(F.least(F.greatest(F.lit(0), b - side), a), F.greatest(F.least(a, extent - side), b - side), name)
+
+    return [side.alias("side"), offset(x1, x2, width, "left").alias("left"), offset(y1, y2, height, "top").alias("top")]
+
+
+def in_crop(box: list[Column], left: Column, top: Column, side: Column) -> list[Column]:
+    """A box in units of the crop, cut off at its border."""
+    x1, y1, x2, y2 = box
+    low = lambda v, at: F.greatest(F.lit(0), v - at) / side
+    high = lambda v, at: F.least(side, v - at) / side
+    return [low(x1, left).alias("bx1"), low(y1, top).alias("by1"), high(x2, left).alias("bx2"), high(y2, top).alias("by2")]
+
+
 def layer_grids(spark: SparkSession, n: int, layers: int, scale: int) -> DataFrame:
     """(layer, idx, x, y): the point grid of each crop layer, n / scale**layer points a side."""
     out = None

@@ -10,9 +10,10 @@ from pyspark.sql import Window as W
 def dense_index(df: DataFrame, *order: str, name: str = "row_idx") -> DataFrame:
     """Add the 0-based place in the given order without a single-task sort: buckets between splitters
     are numbered by themselves and moved up by the sizes of those before (one count a bucket).
-    Splitters are up to 1000 values of the first column with the least hashes, the same on every run."""
+    Splitters come from one value for each of 4096 hash classes of the first column, the same on every run."""
     n, first = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), F.col(order[0])
-    values = sorted(r[0] for r in df.select(first).where(first.isNotNull()).distinct().orderBy(F.xxhash64(first)).limit(1000).collect())
+    chosen = df.select(first.alias("v")).where("v is not null").groupBy(F.pmod(F.xxhash64("v"), F.lit(4096))).agg(F.min_by("v", F.xxhash64("v")).alias("v"))
+    values = sorted(r["v"] for r in chosen.collect())
     splitters = sorted({values[len(values) * i // n] for i in range(1, n)}) if values else []
     bucket = F.lit(0)
     for s in splitters:

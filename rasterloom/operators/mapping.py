@@ -171,3 +171,14 @@ def settle(layers: list[dict], overrides: dict, flags: tuple[str, ...] = (), lis
     out = {k: typed(v) for k, v in out.items()}
     out |= {k: bool(out[k]) for k in flags if k in out}
     return Settings(out | {k: listed(out[k]) for k in lists if k in out})
+
+
+def read_config(spark, folder: str, name: str, version: str | None = None, section: str = "train") -> dict:
+    """``folder/config_<name>[_<version>].json`` by Spark's readers; the model part with the section's own and inherited keys."""
+    import json
+
+    path = f"{folder}/config_{name}{f'_{version}' if version else ''}.json"
+    config = json.loads(spark.read.text(path, wholetext=True).first()[0])
+    own = config.get(section, {})
+    base = config.get(own["inherit"], {}) if "inherit" in own else {}
+    return {**config.get("model", {}), **inherit(config, section, base)[section]}

@@ -111,7 +111,7 @@ def caption(rows: DataFrame, batch_size: int = 32) -> DataFrame:
 def _region_rows(rows: DataFrame, height: int, width: int, fields: str, f) -> DataFrame:
     """Apply ``f(mask) -> values`` to ``rows(id, values array<double>)`` taken as masks (above 0)."""
     names = [x.split()[0] for x in fields.split(", ")]
-    types = [{"long": pa.int64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "double": pa.float64(), "string": pa.string()}[x.split(" ", 1)[1]] for x in fields.split(", ")]
+    types = [{"long": pa.int64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32()), "double": pa.float64(), "string": pa.string(), "array<double>": pa.list_(pa.float64())}[x.split(" ", 1)[1]] for x in fields.split(", ")]
 
     def run(batches: Iterable[pa.RecordBatch]):
         for batch in batches:
@@ -148,6 +148,11 @@ def contour(rows: DataFrame, height: int, width: int, radius: int) -> DataFrame:
     return _region_rows(rows, height, width, "occluder double, background double", f)
 
 
+def kernel_rows(rows: DataFrame, height: int, width: int, f: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """``rows(id, values array<double>)`` with each raster replaced by ``f`` of it; pixels of an image stay in one row."""
+    return _region_rows(rows, height, width, "values array<double>", lambda a: (np.asarray(f(a), float).ravel(),))
+
+
 #: Tests of an object mask, in the order in which they are tried.
 OBJECT_TESTS = ("size", "border", "pieces", "distance", "surroundings")
 

@@ -98,6 +98,65 @@ def destandardise(value: Column, channel: int, table: str = "imagenet") -> Colum
     return value * std[channel] + mean[channel]
 
 
+def _lanczos(x: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
+
+
+def _bicubic(x: np.ndarray) -> np.ndarray:
+    """The cubic kernel with slope -1/2."""
+    x = np.abs(x)
+    return np.where(x < 1, (1.5 * x - 2.5) * x * x + 1, np.where(x < 2, ((2.5 - 0.5 * x) * x - 4) * x + 2, 0.0))
+
+
+#: Resampling kernels and how far they reach.
+KERNELS = {"lanczos": (_lanczos, 3.0), "bicubic": (_bicubic, 2.0)}
+
+
+def resample_matrix(old: int, new: int, kind: str) -> np.ndarray:
+    """new x old weights along one axis: the kernel, widened when shrinking, over the old pixels it reaches, summing to 1."""
+    kernel, reach = KERNELS[kind]
+    scale = old / new
+    wide = max(scale, 1.0)
+    centre = (np.arange(new)[:, None] + 0.5) * scale
+    at = np.arange(old)[None, :]
+    near = (at >= np.floor(centre - reach * wide + 0.5)) & (at < np.floor(centre + reach * wide + 0.5))
+    weights = np.where(near, kernel((at + 0.5 - centre) / wide), 0.0)
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
+def resample(image: np.ndarray, height: int, width: int, kind: str = "lanczos") -> np.ndarray:
+    """A raster (y, x) or (y, x, channel) at another size."""
+    rows, columns = resample_matrix(image.shape[0], height, kind), resample_matrix(image.shape[1], width, kind)
+    return np.einsum("ij,jk...,lk->il...", rows, image.astype(float), columns)
+
+
+def signed_distance(mask: np.ndarray, radius: int = 10) -> np.ndarray:
+    """Steps to the mask's edge, negative inside, in half steps and cut off beyond the radius."""
+    mask, cross = mask.astype(bool), ellipse(3)
+    field = np.where(mask, -radius - 0.5, radius + 0.5)
+    near = _spread_out(mask, cross, np.maximum, False) != _spread_out(mask, cross, np.minimum, True)
+    seen = np.zeros_like(mask)
+    for step in range(radius):
+        fresh = near & ~seen
+        field[fresh] = np.where(mask[fresh], -step - 0.5, step + 0.5)
+        seen |= near
+        near = _spread_out(near, cross, np.maximum, False)
+    return field
+
+
+def soften(mask: np.ndarray, radius: int = 10) -> np.ndarray:
+    """A soft mask in [0, 1]: the blurred distance field, clipped about its zero; borders are reflected."""
+    taps = np.arange(-radius, radius + 1)
+    weights = np.exp(-(taps**2) / (2 * (0.3 * (radius - 1) + 0.8) ** 2))
+    field, weights = signed_distance(mask, radius), weights / weights.sum()
+    for axis in (0, 1):
+        n = field.shape[axis]
+        place = np.abs(np.arange(n)[:, None] + taps) % max(1, 2 * (n - 1))
+        place = np.where(place >= n, 2 * (n - 1) - place, place)
+        field = np.moveaxis((np.moveaxis(field, axis, 0)[place] * weights.reshape(1, -1, 1)).sum(axis=1), 0, axis)
+    return np.clip(0.5 - field, 0, 1)
+
+
 def label_regions(mask: np.ndarray) -> tuple[np.ndarray, int]:
     """8-connected components by union-find over runs: labels from 1, and their number."""
     h, w = mask.shape

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import boxes, crops, geometry, masks, schedule
+from ..operators import boxes, crops, geometry, masks, predict, raster, schedule
 from ..sources import codecs, images
 from .registry import BX, LIN, PX, UNIFORM, _orders, _rasters, _rle, query, r6
 
@@ -178,3 +178,55 @@ def object_mask_filters(s, d):
     px = images.pixels(s, d).withColumn("disp", 2 + F.col("v"))
     q = masks.object_measures(px, "img", F.col("v") > 0.15, "disp")
     return q.where(boxes.object_box_ok(F.col("x"), F.col("y"), F.col("w"), F.col("h"), 8, 8, 6, slack=1) & ~(F.col("near") < 0.5)).select("img", r6("near"))
+
+
+def _resampled(kernel: str, reach: int, new: int) -> str:
+    wide = max(8 / new, 1.0)
+    return f"""WITH {PX}, c AS (SELECT n, (n + 0.5) * 8.0::DOUBLE / {new} AS c FROM range({new}) r(n)),
+ d AS (SELECT n, o, (o + 0.5 - c) / {wide}::DOUBLE AS d FROM c, range(8) r(o) WHERE o >= floor(c - {reach * wide} + 0.5) AND o < floor(c + {reach * wide} + 0.5)),
+ k AS (SELECT n, o, {kernel} AS k FROM d), w AS (SELECT n, o, k / sum(k) OVER (PARTITION BY n) AS w FROM k),
+ g AS (SELECT img, wy.n AS y, wx.n AS x, round(sum(v * wy.w * wx.w), 6) + 0.0 AS v FROM px JOIN w wy ON px.y = wy.o JOIN w wx ON px.x = wx.o GROUP BY img, wy.n, wx.n)
+ SELECT img AS id, list(v ORDER BY y, x) AS values FROM g GROUP BY img"""
+
+
+LANCZOS = "CASE WHEN abs(d) < 1e-12 THEN 1 WHEN abs(d) < 3 THEN sin(pi() * d) / (pi() * d) * sin(pi() * d / 3) / (pi() * d / 3) ELSE 0 END"
+BICUBIC = "CASE WHEN abs(d) < 1 THEN 1.5 * abs(d) ** 3 - 2.5 * d ** 2 + 1 WHEN abs(d) < 2 THEN -0.5 * abs(d) ** 3 + 2.5 * d ** 2 - 4 * abs(d) + 2 ELSE 0 END"
+
+
+def _rounded(rows):
+    return rows.select("id", F.transform("values", lambda v: F.round(v, 6) + 0.0).alias("values"))
+
+
+@query(_resampled(LANCZOS, 3, 5))
+def resize_lanczos(s, d):
+    return _rounded(predict.kernel_rows(_rasters(s, d), 8, 8, lambda a: raster.resample(a, 5, 5)))
+
+
+@query(_resampled(BICUBIC, 2, 12))
+def resize_bicubic(s, d):
+    return _rounded(predict.kernel_rows(_rasters(s, d), 8, 8, lambda a: raster.resample(a, 12, 12, "bicubic")))
+
+
+@query()
+def soft_mask(s, d):
+    """Soft masks of the rasters above 0; tested against a plain version."""
+    return _rounded(predict.kernel_rows(_rasters(s, d), 8, 8, lambda a: raster.soften(a > 0, 3)))
+
+
+def _u(name: str) -> str:
+    return UNIFORM.format(key="k", seed="crop" + name)
+
+
+@query(f"""WITH {BX}, q AS (SELECT img, mask_id, img || '-' || mask_id AS k, x1::INT AS x1, y1::INT AS y1, x2::INT AS x2, y2::INT AS y2 FROM bb),
+ z AS (SELECT *, least(greatest(greatest(y2 - y1, x2 - x1), 32), 90) AS lo, greatest(least(4 * greatest(y2 - y1, x2 - x1), 90), 32) AS hi FROM q),
+ s AS (SELECT *, (lo + floor({_u('size')} * (hi - lo + 1)))::INT AS side FROM z),
+ r AS (SELECT *, least(greatest(0, x2 - side), x1) AS l0, greatest(least(x1, 120 - side), x2 - side) AS l1, least(greatest(0, y2 - side), y1) AS t0, greatest(least(y1, 90 - side), y2 - side) AS t1 FROM s),
+ o AS (SELECT *, (l0 + floor({_u('left')} * (l1 - l0 + 1)))::INT AS "left", (t0 + floor({_u('top')} * (t1 - t0 + 1)))::INT AS top FROM r)
+ SELECT img, mask_id, side, "left", top, round(greatest(0, x1 - "left") / side::DOUBLE, 6) AS bx1, round(greatest(0, y1 - top) / side::DOUBLE, 6) AS by1,
+  round(least(side, x2 - "left") / side::DOUBLE, 6) AS bx2, round(least(side, y2 - top) / side::DOUBLE, 6) AS by2 FROM o""")
+def object_crop(s, d):
+    b = images.boxes(s, d).select("img", "mask_id", F.concat_ws("-", "img", "mask_id").alias("k"), *[F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")])
+    box = [F.col(c) for c in ("x1", "y1", "x2", "y2")]
+    cut = b.select("img", "mask_id", *box, *crops.object_crop(box, F.lit(120), F.lit(90), 32, F.col("k"), "crop"))
+    inside = crops.in_crop(box, F.col("left"), F.col("top"), F.col("side"))
+    return cut.select("img", "mask_id", "side", "left", "top", *[F.round(c, 6).alias(n) for c, n in zip(inside, ("bx1", "by1", "bx2", "by2"), strict=True)])

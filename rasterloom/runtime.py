@@ -34,3 +34,12 @@ def map_arrow(df: DataFrame, function, schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` whose function may live in this package."""
     ship(df.sparkSession)
     return df.mapInArrow(function, schema)
+
+
+def shared_file(spark: SparkSession, path: str, most: int = 64 << 20):
+    """The bytes of one file, read once by Spark's readers and broadcast; a larger file than ``most`` is an error."""
+    file = spark.read.format("binaryFile").load(path)
+    length = file.select("length").first()["length"]
+    if length > most:
+        raise ValueError(f"{path} has {length} bytes, more than {most}")
+    return spark.sparkContext.broadcast(bytes(file.select("content").first()["content"]))

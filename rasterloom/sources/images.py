@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +47,35 @@ def scan_annotated(spark: SparkSession, root: str) -> DataFrame:
     return out.withColumn("annotations_json", F.to_json("annotations"))
 
 
+def load_images(spark: SparkSession, root: str, size: int, normalize: bool = False) -> DataFrame:
+    """filename, image (row-major size x size x 3, in [0, 1] or [-1, 1]) of the PNG files of ``root/images``.
+
+    The largest centred square is cut out and resampled by the Lanczos kernel.  Grey images
+    get three channels, alpha is dropped, 16 bits count as their upper 8.
+    """
+    from ..operators.raster import resample
+    from ..runtime import map_arrow
+    from .codecs import unpack_image
+
+    def square(data: bytes) -> np.ndarray:
+        a = unpack_image(data)
+        a = a[..., None] if a.ndim == 2 else a
+        a = a * 255 if a.dtype == bool else a >> 8 if a.dtype == np.uint16 else a
+        a = np.repeat(a, 3, axis=2) if a.shape[2] == 1 else a[..., :3]
+        half, cy, cx = min(a.shape[:2]) // 2, a.shape[0] // 2, a.shape[1] // 2
+        out = resample(a[cy - half : cy + half, cx - half : cx + half], size, size)
+        out = np.clip(np.rint(out), 0, 255) / 255
+        return out * 2 - 1 if normalize else out
+
+    def run(batches):
+        for b in batches:
+            for at in range(b.num_rows):
+                one = b.slice(at, 1)
+                yield pa.RecordBatch.from_arrays([one.column(0), pa.array([square(one.column(1)[0].as_py()).ravel()], pa.list_(pa.float64()))], ["filename", "image"])
+
+    return map_arrow(scan_images(spark, root), run, "filename string, image array<double>")
+
+
 def missing(images: DataFrame, annotations: DataFrame) -> DataFrame:
     return images.join(annotations, "filename", "left_anti")
 

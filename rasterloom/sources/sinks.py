@@ -18,6 +18,11 @@ def single_view(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(*columns)
 
 
+def write_views(df: DataFrame, path: str, columns: list[str], by: list[str] | None = None, mode: str = "errorifexists") -> None:
+    """Write exactly the named columns as Parquet, one folder for each value of ``by``."""
+    single_view(df, columns).write.mode(mode).partitionBy(*(by or [])).parquet(path)
+
+
 def multi_view(df: DataFrame, key: str, once: list[str], per_view: list[str], view: str = "view_idx") -> DataFrame:
     """One row per image: first values of ``once``, arrays over views in order of the rest."""
     folded = df.groupBy(key).agg(*[F.first(c).alias(c) for c in once], F.array_sort(F.collect_list(F.struct(view, *per_view))).alias("__v"))

@@ -6,13 +6,15 @@ import statistics
 import numpy as np
 import pytest
 
+from rasterloom import runtime
 from rasterloom.operators import mapping, predict, raster
 from rasterloom.plans import crop_queries, registry
+from rasterloom.sources import codecs, images, sinks
 from tests import test_queries
 
 
 @pytest.mark.skipif(not os.path.isdir(test_queries.DATA), reason="no tables")
-@pytest.mark.parametrize("name", ["centre_crop", "crop_points", "uncrop_raster", "select_mask", "resize_and_pad", "annotation_to_mask", "schedule_lookup", "warp_pose", "flow", "take_rows", "segment_masks", "small_regions_holes"])
+@pytest.mark.parametrize("name", ["centre_crop", "crop_points", "uncrop_raster", "select_mask", "resize_and_pad", "annotation_to_mask", "schedule_lookup", "warp_pose", "flow", "take_rows", "segment_masks", "resize_lanczos", "resize_bicubic", "object_crop", "small_regions_holes"])
 def test_crop_query(spark, name):
     assert hasattr(crop_queries, name) or hasattr(registry, name)
     test_queries.test_query(spark, name)
@@ -91,3 +93,42 @@ def test_shared_conflict():
     predict.shared("one of a kind", predict._stub_depth)
     with pytest.raises(ValueError):
         predict.shared("one of a kind", predict._stub_saliency)
+
+
+def test_soft_mask():
+    mask = np.zeros((20, 20), bool)
+    mask[5:15, 6:14] = True
+    field = raster.signed_distance(mask, 3)
+    for y in range(20):
+        for x in range(20):
+            other = [abs(y - a) + abs(x - b) for a in range(20) for b in range(20) if mask[a, b] != mask[y, x]]
+            far = min(min(other) - 1, 3) + 0.5
+            assert field[y, x] == (-far if mask[y, x] else far)
+    soft = raster.soften(mask, 3)
+    assert soft[10, 10] == 1 and soft[0, 0] == 0 and 0 < soft[5, 10] < 1 and np.allclose(soft, soft[:, ::-1])
+
+
+def test_image_folder(spark, tmp_path):
+    (tmp_path / "images").mkdir()
+    rng = np.random.default_rng(1)
+    wide = rng.integers(0, 256, (12, 20, 3)).astype(np.uint8)
+    for name, a in (("wide", wide), ("grey", np.full((6, 6), 51, np.uint8)), ("clear", np.full((5, 4, 4), 255, np.uint8))):
+        (tmp_path / "images" / f"{name}.png").write_bytes(codecs.pack_image(a))
+    got = {r["filename"]: np.array(r["image"]) for r in images.load_images(spark, str(tmp_path), 12).collect()}
+    assert np.allclose(got["wide"], (wide[:, 4:16] / 255).ravel()) and np.allclose(got["grey"], 0.2) and np.allclose(got["clear"], 1)
+    small = {r["filename"]: np.array(r["image"]) for r in images.load_images(spark, str(tmp_path), 4, normalize=True).collect()}
+    assert all(len(v) == 48 and abs(v).max() <= 1 for v in small.values()) and np.allclose(small["grey"], -0.6)
+    assert np.allclose(raster.resample_matrix(8, 5, "lanczos").sum(axis=1), 1) and np.allclose(raster.resample_matrix(7, 7, "bicubic"), np.eye(7))
+    df = spark.createDataFrame([(1, "a", 2.0), (2, "b", 3.0)], "id int, kind string, v double")
+    sinks.write_views(df, str(tmp_path / "out"), ["id", "kind"], ["kind"])
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(tuple(r) for r in back.select("id", "kind").collect()) == [(1, "a"), (2, "b")] and (tmp_path / "out" / "kind=a").is_dir()
+
+
+def test_files(spark, tmp_path):
+    (tmp_path / "config_m_v1.json").write_text('{"model": {"a": 1, "b": 2}, "base": {"b": 3, "c": 4}, "train": {"inherit": "base", "c": 5}}')
+    assert mapping.read_config(spark, str(tmp_path), "m", "v1") == {"a": 1, "b": 3, "c": 5, "inherit": "base"}
+    shared = runtime.shared_file(spark, str(tmp_path / "config_m_v1.json"))
+    assert shared.value.startswith(b'{"model"')
+    with pytest.raises(ValueError):
+        runtime.shared_file(spark, str(tmp_path / "config_m_v1.json"), most=3)
