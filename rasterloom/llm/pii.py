@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterable
 
@@ -173,11 +172,3 @@ def personal_data(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, span)], ["doc_id", "spans"])
 
     return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, spans array<struct<kind:string,start:long,end:long,score:double>>")
-
-
-def joined(spans) -> str:
-    return ",".join(f"{k}:{s}:{e}" for k, s, e in spans)
-
-
-def digest(spans) -> str:
-    return hashlib.sha256(joined(spans).encode()).hexdigest()

@@ -2,13 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..runtime import map_arrow
 from . import decontam, exact, jaccard, lines, packing, pii, sharding, substring, toxicity, warc
 
 TOKENIZER = "byte_bpe_50k.json"
@@ -37,22 +33,16 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterable[pa.RecordBatch]):
-        for batch in batches:
-            columns: list[list] = [[] for _ in range(6)]
-            for spans in batch.column(1).to_pylist():
-                every = [(s["kind"], s["start"], s["end"]) for s in spans]
-                base = [s for s in every if s[0] in pii.KINDS[: pii.BASE]]
-                for k in range(4):
-                    columns[k].append(sum(s[0] == pii.KINDS[k] for s in base))
-                columns[4].append(pii.digest(base))
-                columns[5].append(pii.joined(every))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns[:4]), *(pa.array(c, pa.string()) for c in columns[4:])], ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
-
-    return map_arrow(pii.personal_data(docs), run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return digested(pii.personal_data(table(spark, sf_dir, "documents")))
+
+
+def digested(found: DataFrame) -> DataFrame:
+    """The columns of op4 from ``found(doc_id, spans)``."""
+    base = pii.KINDS[: pii.BASE]
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    of = lambda *kinds: F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    counts = [F.size(of(k)).cast("long").alias(f"n_{k}") for k in base]
+    return found.select("doc_id", *counts, F.sha2(text(of(*base)), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
 
 
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import base64
 import hashlib
 import os
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -233,6 +234,25 @@ def test_base_spans(text):
     assert [(s, k, e) for s, k, e, _ in pii.find(text) if k < 4] == sorted(want)
 
 
+def test_pii_query(spark):
+    """Counts, digests and spans of the query from plain regular expressions."""
+    cases = [*CASES, "é a@b.cd 😀 +12345678901 1.2.3.4 a@b.cd"]
+    rows = queries.digested(pii.personal_data(spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string"))).collect()
+    for r in rows:
+        text = cases[r["doc_id"]] or ""
+        spans = []
+        for k, p in enumerate(BASE):
+            for m in re.finditer(p, text):
+                d = re.sub("[^0-9]", "", m.group())
+                if [True, k != 1 or all(int(x) <= 255 for x in m.group().split(".")), 14 <= len(d) <= 19 and pii.luhn(d), 10 <= len(d) <= 15][k]:
+                    spans.append((m.start(), k, m.end()))
+        named = [f"{pii.KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans)]
+        assert r["base_sha256"] == hashlib.sha256(",".join(named).encode()).hexdigest()
+        assert [r[f"n_{k}"] for k in ("email", "ip", "card", "phone")] == [sum(x[1] == k for x in spans) for k in range(4)]
+        assert [x for x in r["spans"].split(",") if x.split(":")[0] in pii.KINDS[:4]] == named
+    assert len(rows) == len(cases)
+
+
 def test_added_spans():
     kinds = [pii.KINDS[k] for _, k, _, _ in pii.find(CASES[-1])]
     assert "iban" in kinds and "local_phone" in kinds
@@ -274,6 +294,8 @@ def test_toxicity(spark):
 
 def test_sharding(spark, docs):
     rows = sharding.shard(docs, 5).collect()
+    sized = Counter((i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), "rows") for i, t in corpus())
+    assert Counter((r["doc_id"], r["size"], r["text_crc32"], r["law"]) for r in rows) == sized
     assert len(rows) == len(corpus())
     sizes = Counter(r["shard"] for r in rows)
     assert max(sizes.values()) - min(sizes.values()) <= 1 and len(sizes) == 5
