@@ -35,16 +35,21 @@ def line_dedup(docs: DataFrame, run: int = 3, keep_text: bool = False) -> DataFr
     rows = base.select("rid", "doc_id", hashed.alias("l"))
     rows = rows.select("rid", "doc_id", F.expr("transform(l, s -> xxhash64(s.x))").alias("h"), F.expr("transform(l, s -> s.i)").alias("at"), F.expr("transform(l, s -> md5(s.x))").alias("m"))
     rows = rows.where(F.size("h") >= run)
-    least = ", ".join(f"named_struct('h', h[p + {j}], 'j', {-j})" for j in range(run))
-    least = f"least({least})" if run > 1 else least
-    window = f"named_struct('p', p, 'least', {least}, 'full', unhex(md5(concat({', '.join(f'm[p + {j}]' for j in range(run))}))), 'at', slice(at, p + 1, {run}))"
+    def least_of(p: str) -> str:
+        parts = [f"named_struct('h', h[{p} + {j}], 'j', {-j})" for j in range(run)]
+        return f"least({', '.join(parts)})" if run > 1 else parts[0]
+
+    # the first window of each selected place stands for the place
+    before = "greatest(p - 1, 0)"
+    head = f"p = 0 or p - {least_of('p')}.j != {before} - {least_of(before)}.j"
+    window = f"named_struct('p', p, 'least', {least_of('p')}, 'head', {head}, 'full', unhex(md5(concat({', '.join(f'm[p + {j}]' for j in range(run))}))), 'at', slice(at, p + 1, {run}))"
     windows = rows.select("rid", "doc_id", F.expr(f"explode(transform(sequence(0, size(h) - {run}), p -> {window}))").alias("w"))
-    windows = windows.select("rid", "doc_id", "w.p", F.col("w.least.h").alias("print"), (F.col("w.p") - F.col("w.least.j")).alias("mark"), "w.full", "w.at")
+    windows = windows.select("rid", "doc_id", "w.p", F.col("w.least.h").alias("print"), "w.head", "w.full", "w.at")
     windows = store.written(windows, "windows")
 
-    prints = windows.select("print", "rid", "mark").distinct().groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
+    prints = windows.where("head").groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
     place = F.struct("doc_id", "rid", "p")
-    met = windows.join(prints, "print")
+    met = windows.drop("head").join(prints, "print")
     first = met.groupBy("print", "full").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     later = met.join(first, ["print", "full"]).where(place > F.col("first")).select("rid", F.explode("at").alias("i"))
     dead = later.groupBy("rid").agg(F.sort_array(F.collect_set("i")).alias("dead"))

@@ -86,6 +86,18 @@ def test_packing(spark, docs):
     assert got == t.encode(corpus()[20][1], add_special_tokens=False).ids + [2]
 
 
+def test_packed_ids(spark, docs):
+    """Checksums of the ids of every piece, from the tokenizer alone."""
+    from tokenizers import Tokenizer
+
+    path = tokenizers.path("byte_bpe_50k.json")
+    t, want = Tokenizer.from_file(path), Counter()
+    for i, text in corpus():
+        ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        want.update((i, k, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(packing.piece_bounds(len(ids), 1024)))
+    assert Counter((r["doc_id"], r["piece"], r["ids_crc32"]) for r in packing.pack(docs, path).collect()) == want
+
+
 def test_pack_histogram():
     counts = Counter(np.random.default_rng(3).integers(1, 1025, 5000).tolist())
     bins = packing.pack_histogram(dict(counts), 1024)
@@ -526,3 +538,28 @@ def test_many_lines(spark):
     text = "\n".join(["same line"] * 500_000 + ["end"])
     got = lines.line_dedup(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string"), run=1).collect()
     assert {r["doc_id"]: (r["n_lines"], r["n_removed"]) for r in got} == {1: (500_001, 499_999), 2: (1, 0)}
+
+
+def test_decontamination_recall(spark):
+    """Every edited item of weighted similarity 0.8 or more is found, with its similarity, place and length, against all windows."""
+    rng, pairs = np.random.default_rng(9), []
+    items = [(k, prose(int(rng.integers(9, 100)), 500 + k)) for k in range(40)]
+    for k, item in items:
+        for _ in range(4):
+            w = item.split()
+            for at in rng.choice(len(w), rng.integers(0, 1 + len(w) // 20), replace=False):
+                w[at] = "edited"
+            pairs.append((len(pairs), f"{prose(20, 700 + len(pairs))} {' '.join(w)} {prose(15, 900 + len(pairs))}", k))
+    docs = spark.createDataFrame([p[:2] for p in pairs], "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], r["item_id"]): r for r in decontam.contaminated(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    sought = 0
+    for doc, text, _ in pairs:
+        for k, item in items:
+            ids, own = decontam.words_of(text), decontam.words_of(item)
+            a, b = decontam.shingles_of(ids, 5), np.sort(decontam.shingles_of(own, 5))
+            every = [decontam.weighted_jaccard(np.sort(a[s : s + len(b)]), b) for s in range(len(ids) - len(own) + 1)] if len(np.intersect1d(a, b)) else [0.0]
+            if max(every) >= 0.8:
+                sought += 1
+                r = got.pop((doc, k))
+                assert r["similarity"] == max(every) and r["first_word"] == int(np.argmax(every)) and r["words"] == len(own)
+    assert sought > 60 and not got
