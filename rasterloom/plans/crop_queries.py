@@ -230,3 +230,39 @@ def object_crop(s, d):
     cut = b.select("img", "mask_id", *box, *crops.object_crop(box, F.lit(120), F.lit(90), 32, F.col("k"), "crop"))
     inside = crops.in_crop(box, F.col("left"), F.col("top"), F.col("side"))
     return cut.select("img", "mask_id", "side", "left", "top", *[F.round(c, 6).alias(n) for c, n in zip(inside, ("bx1", "by1", "bx2", "by2"), strict=True)])
+
+
+def _view_normal(seed: str) -> str:
+    u, v = (UNIFORM.format(key="key", seed=seed + x) for x in "ab")
+    return f"(sqrt(-2 * ln(1 - {u})) * cos(2 * pi() * {v}))"
+
+
+@query(f"""WITH {PX}, m AS (SELECT *, avg(v) OVER w AS a, median(v) OVER w AS h FROM px WINDOW w AS (PARTITION BY img)), s0 AS (SELECT img, p, y, x, v, 1 + abs(v - a) AS depth, abs(v - h) AS d FROM m),
+ s AS (SELECT *, (d - min(d) OVER w) / (max(d) OVER w - min(d) OVER w) AS sal FROM s0 WINDOW w AS (PARTITION BY img)),
+ k AS (SELECT s.*, i AS view_idx, img || '-' || i AS key FROM s, range(4) r(i)),
+ f AS (SELECT img, view_idx, key, arg_min(p, -ln(1 - {UNIFORM.format(key="(key || '-' || p)", seed="point")}) / sal) AS p FROM k WHERE sal > 0 GROUP BY img, view_idx, key),
+ r AS (SELECT img, (y // 2) * 4 + x // 2 AS q, v, depth, sal, avg(v) OVER (PARTITION BY img) AS a FROM s WHERE y % 2 = 1 AND x % 2 = 1),
+ z AS (SELECT img, q, depth, 1 + abs(v - a) AS again, sal FROM r), g AS (SELECT img, coalesce(sum(depth) FILTER (sal > 0.3) / sum(again) FILTER (sal > 0.3), 1) AS ratio FROM z GROUP BY img),
+ l AS (SELECT img, list(round(again * ratio, 6) ORDER BY q) AS aligned FROM z JOIN g USING (img) GROUP BY img),
+ n AS (SELECT f.img, f.view_idx, f.key, (f.p % 8) / 8.0::DOUBLE AS u, (f.p // 8) / 8.0::DOUBLE AS v, z.depth FROM f JOIN z ON z.img = f.img AND z.q = (f.p // 8) // 2 * 4 + (f.p % 8) // 2),
+ o AS (SELECT *, radians(30 * {_view_normal('poseyaw')}) AS a, radians(10 * {_view_normal('posepitch')}) AS b, depth * (1 + 0.1 * {_view_normal('posed')}) AS zc, 1 + 0.1 * {_view_normal('poset')} AS fc,
+  0.1 * {_view_normal('poseu')} * 2 * tan(radians(27.5)) AS cu, 0.1 * {_view_normal('posev')} * 2 * tan(radians(27.5)) AS cv, 20 + 50 * {UNIFORM.format(key='key', seed='fov')} AS fov FROM n),
+ t AS (SELECT *, zc - fc * zc * (-cos(b) * sin(a) * cu + sin(b) * cv + cos(b) * cos(a)) AS tz FROM o)
+SELECT t.img AS id, any_value(aligned) AS aligned, list(u ORDER BY view_idx) AS u, list(v ORDER BY view_idx) AS v, list(round(fov, 6) ORDER BY view_idx) AS fov, list(round(tz, 6) ORDER BY view_idx) AS tz
+FROM t JOIN l USING (img) GROUP BY t.img""")
+def multi_view_chain(s, d):
+    """Multi-view construction on the proxies with stub predictors: depth and saliency, views, points, resizing, fields of
+    view, poses, inpainting (of the unwarped image, as meshes are not drawn), depth anew and aligned, one row per image."""
+    from ..sources import sinks
+    from . import nodes
+    from .pipeline import Pipeline
+
+    chain = Pipeline(
+        [
+            nodes.Predict("depth", "depth", 8), nodes.Predict("saliency", "saliency", 8), nodes.Replicate(4), nodes.ForegroundPoint(8), nodes.Resize(["image", "depth", "saliency"], 8, 4),
+            nodes.FovRandom(), nodes.RandomPose(4), nodes.Predict("inpaint", "image", 4, out="inpainted_"), nodes.Predict("depth", "depth", 4, "inpainted_", "inpainted_"), nodes.AlignDepth("inpainted_", 0.3),
+        ]
+    )
+    views = chain(_rasters(s, d).withColumnRenamed("values", "image"))
+    views = views.select("id", "view_idx", F.transform("inpainted_depth", lambda v: F.round(v, 6)).alias("aligned"), F.col("point_u").alias("u"), F.col("point_v").alias("v"), r6("fov"), F.round(F.col("translation")[2], 6).alias("tz"))
+    return sinks.multi_view(views, "id", ["aligned"], ["u", "v", "fov", "tz"])

@@ -14,7 +14,7 @@ from tests import test_queries
 
 
 @pytest.mark.skipif(not os.path.isdir(test_queries.DATA), reason="no tables")
-@pytest.mark.parametrize("name", ["centre_crop", "crop_points", "uncrop_raster", "select_mask", "resize_and_pad", "annotation_to_mask", "schedule_lookup", "warp_pose", "flow", "take_rows", "segment_masks", "resize_lanczos", "resize_bicubic", "object_crop", "small_regions_holes"])
+@pytest.mark.parametrize("name", ["centre_crop", "crop_points", "uncrop_raster", "select_mask", "resize_and_pad", "annotation_to_mask", "schedule_lookup", "warp_pose", "flow", "take_rows", "segment_masks", "multi_view_chain", "resize_lanczos", "resize_bicubic", "object_crop", "small_regions_holes"])
 def test_crop_query(spark, name):
     assert hasattr(crop_queries, name) or hasattr(registry, name)
     test_queries.test_query(spark, name)
