@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import tempfile
 import zipfile
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -31,9 +34,27 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_arrow(df: DataFrame, function, schema: str | StructType) -> DataFrame:
-    """``df.mapInArrow`` whose function may live in this package."""
+    """``df.mapInArrow`` whose function may live in this package.  Workers outlive their tasks, so each
+    task gives freed memory back when it ends."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(run, schema)
+
+
+def release() -> None:
+    """Return this process's free memory to the system, where the C library can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
 
 
 def shared_file(spark: SparkSession, path: str, most: int = 64 << 20):
