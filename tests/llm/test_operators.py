@@ -387,6 +387,37 @@ def test_lines(spark):
     assert got == want
 
 
+def test_line_runs(spark):
+    """Runs go on through several places, end where the earlier text differs, and name the first place of each window."""
+    block = [f"line {i}" for i in range(12)]
+    rows = [
+        (1, "\n".join(block)),
+        (2, "\n".join(["new", *block[2:9], "", *block[9:11], "other"])),
+        (3, "\n".join([*block[:4], "cut", *block[4:8], *block[1:5]])),
+        (4, "\n".join(["new", *block[2:5], "a", "a", "a", "a", "a"])),
+        (5, None),
+        (None, "a\na\na"),
+    ]
+    first, want = {}, {}
+    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0])):
+        full = [x.strip() for x in (t or "").split("\n") if x.strip()]
+        runs: list[list] = []
+        for p in range(len(full) - 2):
+            of, start = first.setdefault(tuple(full[p : p + 3]), (d, p))
+            if (of, start) == (d, p):
+                continue
+            last = runs[-1] if runs else None
+            if last and last[2] == of and last[0] + last[1] == p + 2 and last[3] - last[0] == start - p:
+                last[1] += 1
+            else:
+                runs.append([p, 3, of, start])
+        want[d] = [tuple(r) for r in runs]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: [tuple(x) for x in r["runs"]] for r in lines.line_dedup(df, 3, keep_runs=True).collect()}
+    assert got == want
+    assert want[2] == [(1, 9, 1, 2)] and len(want[3]) == 3
+
+
 @pytest.mark.parametrize("run", [1, 2])
 def test_short_runs(spark, run):
     """A repeated line, or pair, between fresh lines goes; rows of fewer lines are compared too."""
