@@ -49,7 +49,19 @@ def _places(base: DataFrame, run: int) -> DataFrame:
     return rows.select("rid", "doc_id", "w.print", "w.p", "w.full")
 
 
-def _matches(places: DataFrame, run: int) -> DataFrame:
+def _keyed(rows: DataFrame, keys: DataFrame, names: list[str], heavy: int) -> DataFrame:
+    """Written ``rows`` joined with ``keys``, one row a key with the number ``n`` of rows that have it.
+
+    A key of more than one in ``heavy`` rows, of which there are fewer than ``heavy``, is broadcast, so its
+    rows stay spread over their tasks; the rows of all other keys are exchanged.
+    """
+    bound = rows.count() / heavy
+    frequent = F.broadcast(keys.where(F.col("n") > bound))
+    rest = rows.join(frequent, names, "left_anti").join(keys.where(F.col("n") <= bound), names)
+    return rows.join(frequent, names).unionByName(rest).drop("n")
+
+
+def _matches(places: DataFrame, run: int, heavy: int) -> DataFrame:
     """(rid, runs): the maximal repeated runs of each row that has any, each with the earlier place it repeats.
 
     Places whose print occurs once cannot match.  The others meet by print and are extended
@@ -58,12 +70,13 @@ def _matches(places: DataFrame, run: int) -> DataFrame:
     documents does not meet itself in pairs.  Windows that follow each other in the row and in
     the earlier one are one run, so a match goes on through the places behind and before it.
     """
-    prints = places.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
-    met = places.join(prints, "print").select("rid", "doc_id", "print", "p", F.posexplode("full").alias("k", "full"))
-    met = met.select("rid", "doc_id", "print", (F.col("p") + F.col("k")).alias("p"), "full")
+    prints = places.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    met = _keyed(places, store.written(prints, "prints"), ["print"], heavy)
+    met = met.select("rid", "doc_id", "print", "p", F.posexplode("full").alias("k", "full"))
+    met = store.written(met.select("rid", "doc_id", "print", (F.col("p") + F.col("k")).alias("p"), "full"), "windows")
     place = F.struct("doc_id", "rid", "p")
-    first = met.groupBy("print", "full").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
-    later = met.join(first, ["print", "full"]).where(place > F.col("first"))
+    first = met.groupBy("print", "full").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first")).where("n > 1")
+    later = _keyed(met, store.written(first, "first"), ["print", "full"], heavy).where(place > F.col("first"))
     pairs = later.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("p", "first"))).alias("m"))
     before = "m[greatest(i - 1, 0)]"
     follows = f"m[i].p = {before}.p + 1 and m[i].first.rid = {before}.first.rid and m[i].first.p = {before}.first.p + 1"
@@ -72,7 +85,7 @@ def _matches(places: DataFrame, run: int) -> DataFrame:
     return pairs.select("rid", F.expr(f"zip_with(a, {_ends('a', 'size(m)')}, (s, e) -> {one})").alias("runs"))
 
 
-def line_dedup(docs: DataFrame, run: int = 3, keep_text: bool = False, keep_runs: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, run: int = 3, keep_text: bool = False, keep_runs: bool = False, heavy: int = 1000) -> DataFrame:
     """doc_id, n_lines, n_removed, kept_sha256 of every row of ``docs(doc_id, text)``.
 
     Lines end at a line feed; surrounding white space does not count, and blank lines are
@@ -85,7 +98,8 @@ def line_dedup(docs: DataFrame, run: int = 3, keep_text: bool = False, keep_runs
     one blank line.  Of repeated rows the first stays; null doc_ids come first.
 
     Windows select their least line hash as fingerprint (every repeated run shares one),
-    repeated fingerprints join their places, and matches are extended both ways.
+    repeated fingerprints join their places, and matches are extended both ways.  Fingerprints
+    and windows of more than one in ``heavy`` places are joined without an exchange.
     """
     base = docs.select("doc_id", "text").withColumn("rid", F.monotonically_increasing_id())
     base = store.written(base, "lines")
@@ -93,7 +107,7 @@ def line_dedup(docs: DataFrame, run: int = 3, keep_text: bool = False, keep_runs
     # numbers of the lines that go, from the runs' places among the non-blank ones; these are bound once a row
     filled = f"filter(transform({_lines()}, (x, i) -> if({_trimmed()} != '', i, null)), i -> i is not null)"
     gone = f"flatten(transform(array({filled}), f -> flatten(transform(runs, r -> slice(f, r.start + 1, r.lines)))))"
-    matches = _matches(places, run)
+    matches = _matches(places, run, heavy)
     out = base.join(matches, "rid", "left").withColumn("dead", F.expr(f"if(runs is null, null, sort_array(array_distinct({gone})))"))
 
     # one flag a line from the sorted places, so that a text of many lines takes time in proportion

@@ -383,11 +383,12 @@ def test_lines(spark):
         kept = "\n".join(x for i, x in enumerate(ls) if i not in dead)
         want[d] = (len(ls), len(dead), kept)
     df = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, p int").repartition(3)
-    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_text"]) for r in lines.line_dedup(df, 3, keep_text=True).collect()}
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_text"]) for r in lines.line_dedup(df, 3, keep_text=True, heavy=20).collect()}
     assert got == want
 
 
-def test_line_runs(spark):
+@pytest.mark.parametrize("heavy", [1, 10, 1000])
+def test_line_runs(spark, heavy):
     """Runs go on through several places, end where the earlier text differs, and name the first place of each window."""
     block = [f"line {i}" for i in range(12)]
     rows = [
@@ -413,7 +414,7 @@ def test_line_runs(spark):
                 runs.append([p, 3, of, start])
         want[d] = [tuple(r) for r in runs]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: [tuple(x) for x in r["runs"]] for r in lines.line_dedup(df, 3, keep_runs=True).collect()}
+    got = {r["doc_id"]: [tuple(x) for x in r["runs"]] for r in lines.line_dedup(df, 3, keep_runs=True, heavy=heavy).collect()}
     assert got == want
     assert want[2] == [(1, 9, 1, 2)] and len(want[3]) == 3
 
@@ -434,7 +435,7 @@ def test_short_runs(spark, run):
             seen.add(k)
         want[d] = (len(ls), len(dead), "\n".join(x for i, x in enumerate(ls) if i not in dead))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_text"]) for r in lines.line_dedup(df, run, keep_text=True).collect()}
+    got = {r["doc_id"]: (r["n_lines"], r["n_removed"], r["kept_text"]) for r in lines.line_dedup(df, run, keep_text=True, heavy=2).collect()}
     assert got == want
 
 
