@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 
 def xyxy_to_xywh(x1, y1, x2, y2) -> list[Column]:
@@ -65,13 +66,28 @@ def iou(a: str, b: str) -> str:
     return f"coalesce(try_divide({inter}, {area(a)} + {area(b)} - {inter}), 0D)"
 
 
-def nms(boxes: DataFrame, image: str, threshold: float, score: str = "score", key: str = "mask_id") -> DataFrame:
+def nms(boxes: DataFrame, image: str | list[str], threshold: float, score: str = "score", key: str = "mask_id") -> DataFrame:
     """Greedy non-maximum suppression per image: by falling score, then key, a box stays unless its IoU
     with a kept one exceeds the threshold.  A group is folded as one array: images hold few boxes."""
+    by = [image] if isinstance(image, str) else image
     item = F.struct((-F.col(score)).alias("s"), F.col(key).alias("k"), *[F.col(c).cast("double").alias(c) for c in ("x1", "y1", "x2", "y2")])
-    folded = boxes.groupBy(image).agg(F.array_sort(F.collect_list(item)).alias("a"))
+    folded = boxes.groupBy(*by).agg(F.array_sort(F.collect_list(item)).alias("a"))
     keep = F.expr(f"aggregate(a, slice(a, 1, 0), (acc, b) -> if(exists(acc, q -> {iou('q', 'b')} > {threshold}D), acc, concat(acc, array(b))))")
-    return folded.select(image, F.explode(keep).alias("b")).select(image, F.col("b.k").alias(key))
+    return folded.select(*by, F.explode(keep).alias("b")).select(*by, F.col("b.k").alias(key))
+
+
+def nms_across_crops(boxes: DataFrame, image: str, crop: str, area: str, threshold: float, key: str = "mask_id") -> DataFrame:
+    """Suppression over all crops of an image, in the image's coordinates: boxes of smaller crops come first.
+    An image whose boxes are all of one crop keeps them."""
+    several = F.size(F.collect_set(crop).over(W.partitionBy(image))) > 1
+    marked = boxes.withColumn("__several", several).withColumn("__score", 1.0 / F.col(area))
+    met = nms(marked.where("__several"), image, threshold, "__score", key)
+    return met.unionByName(marked.where("not __several").select(image, key))
+
+
+def nms_after_cleanup(boxes: DataFrame, image: str, changed: str, threshold: float, key: str = "mask_id") -> DataFrame:
+    """Suppression once small regions are gone: boxes of masks that did not change come first."""
+    return nms(boxes.withColumn("__score", F.when(F.col(changed), 0.0).otherwise(1.0)), image, threshold, "__score", key)
 
 
 def large_object(boxes: DataFrame, image: str, area: str, order: Column, ratio: float = 0.5) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -124,13 +125,44 @@ def lookup(rows: DataFrame, table: DataFrame, step: str) -> DataFrame:
     return rows.join(F.broadcast(table), rows[step] == F.col("__t")).drop("__t")
 
 
-def ddpm_step(x: Column, eps: Column, noise: Column, step: str, clip: bool = False) -> Column:
+def ddpm_step(x: Column, eps: Column, noise: Column, step: str, clip: bool = False, of: Callable[[str], Column] = F.col) -> Column:
     """x at the step before, of rows that :func:`lookup` has given the posterior's columns; no noise at step 0."""
-    ab = F.col("alpha_bar")
-    x0 = F.sqrt(1 / ab) * x - F.sqrt(1 / ab - 1) * eps
+    x0 = predict_x0(x, eps, of("alpha_bar"))
     if clip:
         x0 = F.greatest(F.least(x0, F.lit(1.0)), F.lit(-1.0))
-    return F.col("coef_x0") * x0 + F.col("coef_xt") * x + F.when(F.col(step) > 0, F.exp(0.5 * F.col("log_variance")) * noise).otherwise(0.0)
+    return of("coef_x0") * x0 + of("coef_xt") * x + F.when(of(step) > 0, F.exp(0.5 * of("log_variance")) * noise).otherwise(0.0)
+
+
+def ddim_steps(schedule: DataFrame, total: int, steps: int) -> DataFrame:
+    """One row: ``steps``, an array of (t, alpha_bar, previous) in sampling order, of :func:`with_alphas` over ``total`` steps.
+
+    The model sees t, one less than the pair's; before the first step nothing is noise.
+    """
+    bar = schedule.select((F.col("t") + 1).alias("__t"), "alpha_bar")
+    pairs = ddim_pairs(schedule.sparkSession, total, steps)
+    pairs = pairs.join(F.broadcast(bar), F.col("t") == F.col("__t")).drop("__t")
+    pairs = pairs.join(F.broadcast(bar.withColumnRenamed("alpha_bar", "previous")), F.col("t_prev") == F.col("__t"), "left")
+    one = F.struct("i", (F.col("t") - 1).alias("t"), "alpha_bar", F.coalesce("previous", F.lit(1.0)).alias("previous"))
+    return pairs.agg(F.array_sort(F.collect_list(one)).alias("steps"))
+
+
+def ddim_sample(x: Column, steps: Column, model: Callable[[Column, Column], Column], eta: float = 0.0, noise: Callable[[Column], Column] | None = None) -> Column:
+    """x after all ``steps`` of :func:`ddim_steps`, folded within the row; ``model(x, t)`` predicts the noise."""
+    return F.aggregate(
+        steps, x, lambda v, s: ddim_step(v, model(v, s["t"]), s["alpha_bar"], s["previous"], eta, None if noise is None else noise(s["t"]))
+    )
+
+
+def ddpm_steps(schedule: DataFrame) -> DataFrame:
+    """One row: ``steps``, the posterior's rows from the last step to the first, of :func:`with_alphas`."""
+    names = ["alpha_bar", "coef_x0", "coef_xt", "log_variance"]
+    rows = posterior(schedule).select((-F.col("t")).alias("turn"), "t", *names)
+    return rows.agg(F.array_sort(F.collect_list(F.struct(*rows.columns))).alias("steps"))
+
+
+def ddpm_sample(x: Column, steps: Column, model: Callable[[Column, Column], Column], noise: Callable[[Column], Column], clip: bool = False) -> Column:
+    """x after all ``steps`` of :func:`ddpm_steps`, folded within the row; ``model(x, t)`` predicts the noise, ``noise(t)`` is fresh."""
+    return F.aggregate(steps, x, lambda v, s: ddpm_step(v, model(v, s["t"]), noise(s["t"]), "t", clip, lambda n: s[n]))
 
 
 def sorted_centres(centres: Column, least: float, most: float) -> Column:

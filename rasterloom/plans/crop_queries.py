@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.rng import uniform
 from ..operators import boxes, crops, geometry, masks, predict, raster, schedule
 from ..sources import codecs, images
 from .registry import BX, LIN, PX, UNIFORM, _orders, _rasters, _rle, query, r6
@@ -266,3 +267,68 @@ def multi_view_chain(s, d):
     views = chain(_rasters(s, d).withColumnRenamed("values", "image"))
     views = views.select("id", "view_idx", F.transform("inpainted_depth", lambda v: F.round(v, 6)).alias("aligned"), F.col("point_u").alias("u"), F.col("point_v").alias("v"), r6("fov"), F.round(F.col("translation")[2], 6).alias("tz"))
     return sinks.multi_view(views, "id", ["aligned"], ["u", "v", "fov", "tz"])
+
+
+def _nms_sql(source: str, by: str, order: str, name: str) -> str:
+    """CTEs that fold ``source`` by ``order`` into ``name``(by, mask_id)."""
+    inter = "greatest(0, least(q.x2, a[i].x2) - greatest(q.x1, a[i].x1)) * greatest(0, least(q.y2, a[i].y2) - greatest(q.y1, a[i].y1))"
+    both = "(q.x2 - q.x1) * (q.y2 - q.y1) + (a[i].x2 - a[i].x1) * (a[i].y2 - a[i].y1)"
+    return f"""{name}_g AS (SELECT {by}, list({{'k': mask_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY {order}, mask_id) AS a FROM {source} GROUP BY {by}),
+ {name}_f AS (SELECT {by}, a, 1 AS i, a[1:0] AS acc FROM {name}_g UNION ALL
+   SELECT {by}, a, i + 1, CASE WHEN len(list_filter(acc, lambda q: coalesce({inter} / ({both} - {inter}), 0) > 0.3)) > 0
+     THEN acc ELSE list_append(acc, a[i]) END FROM {name}_f WHERE i <= len(a)),
+ {name} AS (SELECT {by}, unnest(acc).k AS mask_id FROM {name}_f WHERE i = len(a) + 1)"""
+
+
+CROPPED = "cr AS (SELECT *, mask_id % 3 AS crop, CASE WHEN mask_id % 3 = 0 THEN 4096 ELSE 900 * (mask_id % 3) END AS crop_area FROM bb)"
+
+
+def _cropped(s, d):
+    crop = F.col("mask_id") % 3
+    return images.boxes(s, d).withColumn("crop", crop).withColumn("crop_area", F.when(crop == 0, 4096).otherwise(900 * crop))
+
+
+@query(f"""WITH RECURSIVE {BX}, {CROPPED}, {_nms_sql("cr", "img, crop", "score DESC", "inner_kept")},
+ left_over AS (SELECT cr.*, count(DISTINCT crop) OVER (PARTITION BY img) AS crops FROM cr JOIN inner_kept USING (img, crop, mask_id)),
+ many AS (SELECT * FROM left_over WHERE crops > 1), {_nms_sql("many", "img", "1.0 / crop_area DESC", "kept")}
+SELECT img, mask_id FROM kept UNION ALL SELECT img, mask_id FROM left_over WHERE crops = 1""")
+def nms_across_crops(s, d):
+    """Suppression within each crop by score, then across the crops of an image."""
+    b = _cropped(s, d)
+    within = b.join(boxes.nms(b, ["img", "crop"], 0.3), ["img", "crop", "mask_id"])
+    return boxes.nms_across_crops(within, "img", "crop", "crop_area", 0.3)
+
+
+@query(f"""WITH RECURSIVE {BX}, c AS (SELECT *, mask_id % 3 = 1 AS changed FROM bb), {_nms_sql("c", "img", "changed", "kept")} SELECT img, mask_id FROM kept""")
+def nms_after_cleanup(s, d):
+    return boxes.nms_after_cleanup(images.boxes(s, d).withColumn("changed", F.col("mask_id") % 3 == 1), "img", "changed", 0.3)
+
+
+@query(f"""WITH RECURSIVE {AB}, st AS (SELECT 20 - i AS k, 50 * i + 49 AS t, p.ab, coalesce(q.ab, 1.0) AS pr FROM range(20) r(i) JOIN p ON p.t = 50 * i + 49 LEFT JOIN p q ON q.t = 50 * i - 1),
+ l AS (SELECT vec_id AS img, 0 AS k, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings UNION ALL
+  SELECT l.img, l.k + 1, list_transform(l.x, lambda v: sqrt(pr) * (sqrt(1 / ab) * v - sqrt(1 / ab - 1) * (v * st.t / 1000)) + sqrt(1 - pr) * (v * st.t / 1000)) FROM l JOIN st ON st.k = l.k + 1)
+SELECT img, i // 8 AS y, i % 8 AS x, round(l.x[i + 1], 6) AS v FROM l, range(64) r(i) WHERE k = 20""")
+def ddim_loop(s, d):
+    """All steps of a deterministic sampler with a stub model that takes a share t / 1000 of x for noise."""
+    steps = F.broadcast(schedule.ddim_steps(schedule.with_alphas(schedule.linear_betas(s, 1000)), 1000, 20))
+    e = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("img"), F.expr("cast(embedding as array<double>)").alias("x"))
+    done = e.join(steps).select("img", F.transform("x", lambda v: schedule.ddim_sample(v, F.col("steps"), lambda x, t: x * t / 1000.0)).alias("x"))
+    return done.select("img", F.posexplode("x").alias("p", "v")).select("img", F.expr("cast(p div 8 as int)").alias("y"), (F.col("p") % 8).alias("x"), F.round("v", 6).alias("v"))
+
+
+SMALL = "b AS (SELECT i AS t, 0.01 + i * ((2.0 - 0.01) / 9) * 0.45 AS beta FROM range(10) r(i))"
+
+
+@query(f"""WITH RECURSIVE {SMALL}, a AS (SELECT t, beta, product(1 - beta) OVER (ORDER BY t) AS ab FROM b), p AS (SELECT *, coalesce(lag(ab) OVER (ORDER BY t), 1.0) AS pr FROM a),
+ l AS (SELECT vec_id AS img, 10 AS t, list_transform(embedding, lambda v: v::DOUBLE) AS x FROM embeddings UNION ALL
+  SELECT l.img, p.t, list_transform(l.x, lambda v: beta * sqrt(pr) / (1 - ab) * greatest(least(sqrt(1 / ab) * v - sqrt(1 / ab - 1) * (v * p.t / 10), 1), -1) + (1 - pr) * sqrt(1 - beta) / (1 - ab) * v
+    + CASE WHEN p.t > 0 THEN sqrt(beta * (1 - pr) / (1 - ab)) * {UNIFORM.format(key="(l.img || '-' || p.t)", seed="ddpm")} ELSE 0 END) FROM l JOIN p ON p.t = l.t - 1)
+SELECT img, i // 8 AS y, i % 8 AS x, round(l.x[i + 1], 6) AS v FROM l, range(64) r(i) WHERE t = 0""")
+def ddpm_loop(s, d):
+    """All steps of a clipped ancestral sampler over ten steps, with a stub model and a draw per image and step for noise."""
+    betas = s.range(10).select(F.col("id").alias("t"), (0.01 + F.col("id") * ((2.0 - 0.01) / 9) * 0.45).alias("beta"))
+    steps = F.broadcast(schedule.ddpm_steps(schedule.with_alphas(betas)))
+    e = s.read.parquet(f"{d}/embeddings.parquet").select(F.col("vec_id").alias("img"), F.expr("cast(embedding as array<double>)").alias("x"))
+    noise = lambda t: uniform(F.concat_ws("-", "img", t), "ddpm")
+    done = e.join(steps).select("img", F.transform("x", lambda v: schedule.ddpm_sample(v, F.col("steps"), lambda x, t: x * t / 10.0, noise, clip=True)).alias("x"))
+    return done.select("img", F.posexplode("x").alias("p", "v")).select("img", F.expr("cast(p div 8 as int)").alias("y"), (F.col("p") % 8).alias("x"), F.round("v", 6).alias("v"))
