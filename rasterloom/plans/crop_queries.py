@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.rng import uniform
 from ..operators import boxes, crops, geometry, masks, predict, raster, schedule
 from ..sources import codecs, images
-from .registry import BX, LIN, PX, UNIFORM, _orders, _rasters, _rle, query, r6
+from . import chains
+from .registry import BX, LIN, PX, UNIFORM, _orders, _rasters, _regions, _rle, query, r6
 
 AB = f"{LIN}, a AS (SELECT t, beta, product(1 - beta) OVER (ORDER BY t) AS ab FROM b), p AS (SELECT *, coalesce(lag(ab) OVER (ORDER BY t), 1.0) AS pr FROM a)"
 
@@ -269,13 +270,13 @@ def multi_view_chain(s, d):
     return sinks.multi_view(views, "id", ["aligned"], ["u", "v", "fov", "tz"])
 
 
-def _nms_sql(source: str, by: str, order: str, name: str) -> str:
+def _nms_sql(source: str, by: str, order: str, name: str, threshold: float = 0.3) -> str:
     """CTEs that fold ``source`` by ``order`` into ``name``(by, mask_id)."""
     inter = "greatest(0, least(q.x2, a[i].x2) - greatest(q.x1, a[i].x1)) * greatest(0, least(q.y2, a[i].y2) - greatest(q.y1, a[i].y1))"
     both = "(q.x2 - q.x1) * (q.y2 - q.y1) + (a[i].x2 - a[i].x1) * (a[i].y2 - a[i].y1)"
     return f"""{name}_g AS (SELECT {by}, list({{'k': mask_id, 'x1': x1, 'y1': y1, 'x2': x2, 'y2': y2}} ORDER BY {order}, mask_id) AS a FROM {source} GROUP BY {by}),
  {name}_f AS (SELECT {by}, a, 1 AS i, a[1:0] AS acc FROM {name}_g UNION ALL
-   SELECT {by}, a, i + 1, CASE WHEN len(list_filter(acc, lambda q: coalesce({inter} / ({both} - {inter}), 0) > 0.3)) > 0
+   SELECT {by}, a, i + 1, CASE WHEN len(list_filter(acc, lambda q: coalesce(({inter}) / nullif({both} - {inter}, 0), 0) > {threshold})) > 0
      THEN acc ELSE list_append(acc, a[i]) END FROM {name}_f WHERE i <= len(a)),
  {name} AS (SELECT {by}, unnest(acc).k AS mask_id FROM {name}_f WHERE i = len(a) + 1)"""
 
@@ -332,3 +333,24 @@ def ddpm_loop(s, d):
     noise = lambda t: uniform(F.concat_ws("-", "img", t), "ddpm")
     done = e.join(steps).select("img", F.transform("x", lambda v: schedule.ddpm_sample(v, F.col("steps"), lambda x, t: x * t / 10.0, noise, clip=True)).alias("x"))
     return done.select("img", F.posexplode("x").alias("p", "v")).select("img", F.expr("cast(p div 8 as int)").alias("y"), (F.col("p") % 8).alias("x"), F.round("v", 6).alias("v"))
+
+
+CUT = """cr(crop, cx1, cy1, cx2, cy2) AS (VALUES (0, 0, 0, 8, 8), (1, 0, 0, 6, 6), (2, 2, 0, 8, 6), (3, 0, 2, 6, 8), (4, 2, 2, 8, 8)),
+px AS (SELECT vec_id * 5 + crop AS img, label, (i // 8 - cy1) * 8 + i % 8 - cx1 AS p, i // 8 - cy1 AS y, i % 8 - cx1 AS x, embedding[i + 1]::DOUBLE AS v
+ FROM embeddings, cr, range(64) r(i) WHERE i % 8 >= cx1 AND i % 8 < cx2 AND i // 8 >= cy1 AND i // 8 < cy2)"""
+
+
+@query(f"""WITH RECURSIVE {_regions(">").replace(PX, CUT, 1)},
+ bs AS (SELECT img, k, count(*) AS area, min(p % 8) AS x, min(p // 8) AS y, max(p % 8) - min(p % 8) AS w, max(p // 8) - min(p // 8) AS h FROM l GROUP BY img, k),
+ nb AS (SELECT img // 5 AS id, (img % 5)::INT AS crop, row_number() OVER (PARTITION BY img ORDER BY k) AS turn, * EXCLUDE (img, k) FROM bs),
+ whole AS (SELECT id, crop, crop * 64 + turn AS mask_id, area, x + cx1 AS x1, y + cy1 AS y1, x + w + cx1 AS x2, y + h + cy1 AS y2, area / ((w + 1) * (h + 1))::DOUBLE AS score, (cx2 - cx1) * (cy2 - cy1) AS crop_area, cx1, cy1, cx2, cy2 FROM nb JOIN cr USING (crop)),
+ fit AS (SELECT * FROM whole WHERE score >= 0.5 AND NOT ((abs(x1 - cx1) <= 1 AND abs(x1) > 1) OR (abs(y1 - cy1) <= 1 AND abs(y1) > 1) OR (abs(x2 - cx2) <= 1 AND abs(x2 - 8) > 1) OR (abs(y2 - cy2) <= 1 AND abs(y2 - 8) > 1))),
+ {_nms_sql("fit", "id, crop", "score DESC", "inner_kept", 0.7)},
+ left_over AS (SELECT fit.*, count(DISTINCT crop) OVER (PARTITION BY id) AS crops FROM fit JOIN inner_kept USING (id, crop, mask_id)),
+ many AS (SELECT * FROM left_over WHERE crops > 1), {_nms_sql("many", "id", "1.0 / crop_area DESC", "kept", 0.7)},
+ both_kept AS (SELECT id, mask_id FROM kept UNION ALL SELECT id, mask_id FROM left_over WHERE crops = 1)
+SELECT id, crop, mask_id, area, x1, y1, x2, y2, round(score, 6) AS score FROM left_over JOIN both_kept USING (id, mask_id)""")
+def mask_generation_chain(s, d):
+    """Crops, segmentation, filters and both suppressions as one chain, with the stub segmenter."""
+    out = chains.generate_masks(_rasters(s, d), 8, 8, 1, 0.5, threshold=0.0, least=0.5, edge=1.0)
+    return out.withColumn("score", F.round("score", 6))

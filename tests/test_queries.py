@@ -17,7 +17,7 @@ def plain(v):
     return [plain(x) for x in v] if isinstance(v, list) else v
 
 
-@pytest.mark.parametrize("name", ["part_shard", "nms_box", "rle_encode", "mask_to_box", "discontinuity", "depth_metrics", "ddpm_posterior", "grid_sample", "chat_prompt", "ema", "foreground_point", "nms_across_crops", "nms_after_cleanup", "ddim_loop", "ddpm_loop"])
+@pytest.mark.parametrize("name", ["part_shard", "nms_box", "rle_encode", "mask_to_box", "discontinuity", "depth_metrics", "ddpm_posterior", "grid_sample", "chat_prompt", "ema", "foreground_point", "nms_across_crops", "nms_after_cleanup", "ddim_loop", "ddpm_loop", "mask_generation_chain"])
 def test_query(spark, name):
     con = duckdb.connect()
     for f in os.listdir(DATA):
