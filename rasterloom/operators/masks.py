@@ -75,11 +75,12 @@ def erode(px: DataFrame, image: str, value: str, radius: int) -> DataFrame:
     return _pool(px, image, value, radius, F.min)
 
 
-def contained_nms(masks: DataFrame, image: str, threshold: float = 0.7) -> DataFrame:
+def contained_nms(masks: DataFrame, image: str, threshold: float = 0.7, carry: list[str] | None = None) -> DataFrame:
     """``masks(image, mask_id, pixels)``: by falling area, then id, a mask stays unless more than the
-    threshold of its own pixels lies in a kept one."""
-    item = F.struct((-F.size("pixels")).alias("s"), F.col("mask_id").alias("k"), F.col("pixels").alias("px"))
+    threshold of its own pixels lies in a kept one.  Columns to ``carry`` come with the masks that stay."""
+    carry = carry or []
+    item = F.struct((-F.size("pixels")).alias("s"), F.col("mask_id").alias("k"), F.col("pixels").alias("px"), *carry)
     folded = masks.groupBy(image).agg(F.array_sort(F.collect_list(item)).alias("a"))
     inside = "coalesce(try_divide(cast(size(array_intersect(q.px, b.px)) as double), size(b.px)), 0D)"
     keep = F.expr(f"aggregate(a, slice(a, 1, 0), (acc, b) -> if(exists(acc, q -> {inside} > {threshold}D), acc, concat(acc, array(b))))")
-    return folded.select(image, F.explode(keep).alias("b")).select(image, F.col("b.k").alias("mask_id"))
+    return folded.select(image, F.explode(keep).alias("b")).select(image, F.col("b.k").alias("mask_id"), *[f"b.{c}" for c in carry])

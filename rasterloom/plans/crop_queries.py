@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.rng import uniform
@@ -354,3 +358,29 @@ def mask_generation_chain(s, d):
     """Crops, segmentation, filters and both suppressions as one chain, with the stub segmenter."""
     out = chains.generate_masks(_rasters(s, d), 8, 8, 1, 0.5, threshold=0.0, least=0.5, edge=1.0)
     return out.withColumn("score", F.round("score", 6))
+
+
+def _annotated(s, d):
+    """(id, mask_id, json): the regions above 0 of each raster as annotation records."""
+    from ..runtime import map_arrow
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                labels, n = raster.label_regions(np.array(v, float).reshape(8, 8) > 0)
+                for k in range(1, n + 1):
+                    flat = (labels == k).T.ravel()
+                    at = np.flatnonzero(np.diff(flat, prepend=False, append=not flat[-1]))
+                    text = codecs.pack_counts(np.diff(at, prepend=0).tolist())
+                    out.append((i, k, json.dumps({"segmentation": {"size": [8, 8], "counts": text}})))
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in out], b.schema.field(0).type), pa.array([r[1] for r in out], pa.int64()), pa.array([r[2] for r in out], pa.string())], ["id", "mask_id", "json"])
+
+    rasters = _rasters(s, d)
+    return map_arrow(rasters, run, f"id {rasters.schema['id'].dataType.simpleString()}, mask_id long, json string")
+
+
+@query()
+def object_extraction_chain(s, d):
+    """Annotations decoded, tested, thinned out and cut out as one chain, on the regions of each raster."""
+    return chains.extract_objects(_rasters(s, d), _annotated(s, d), 8, 8, side=12, margin=1, least=2, radius=2, near=0.2, occluder=1.0, background=0.0)
