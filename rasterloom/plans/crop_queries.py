@@ -12,7 +12,7 @@ from ..functions.rng import uniform
 from ..operators import boxes, crops, geometry, masks, predict, raster, schedule
 from ..sources import codecs, images
 from . import chains
-from .registry import BX, LIN, PX, UNIFORM, _orders, _rasters, _regions, _rle, query, r6
+from .registry import BX, LIN, PX, UNIFORM, _orders, _rasters, _regions, _rle, query, r6, signed6
 
 AB = f"{LIN}, a AS (SELECT t, beta, product(1 - beta) OVER (ORDER BY t) AS ab FROM b), p AS (SELECT *, coalesce(lag(ab) OVER (ORDER BY t), 1.0) AS pr FROM a)"
 
@@ -270,7 +270,7 @@ def multi_view_chain(s, d):
         ]
     )
     views = chain(_rasters(s, d).withColumnRenamed("values", "image"))
-    views = views.select("id", "view_idx", F.transform("inpainted_depth", lambda v: F.round(v, 6)).alias("aligned"), F.col("point_u").alias("u"), F.col("point_v").alias("v"), r6("fov"), F.round(F.col("translation")[2], 6).alias("tz"))
+    views = views.select("id", "view_idx", F.transform("inpainted_depth", lambda v: F.round(v, 6)).alias("aligned"), F.col("point_u").alias("u"), F.col("point_v").alias("v"), r6("fov"), signed6(F.col("translation")[2]).alias("tz"))
     return sinks.multi_view(views, "id", ["aligned"], ["u", "v", "fov", "tz"])
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rng import normal, uniform
@@ -44,6 +44,11 @@ def r6(c: str, name: str | None = None):
     return F.round(c, 6).alias(name or c)
 
 
+def signed6(v: Column) -> Column:
+    """Rounded as SQL does it: what becomes zero keeps its sign, which ``F.round`` drops and a list shows."""
+    return F.round(F.abs(v), 6) * F.signum(v)
+
+
 # ---- datasets ----
 
 

@@ -30,3 +30,16 @@ def test_query(spark, name):
     left = sorted(([plain(r[c]) for c in names] for r in df.collect()), key=str)
     right = sorted(([plain(r[i]) for i in at] for r in rel.fetchall()), key=str)
     assert left == right
+
+
+@pytest.mark.parametrize("name", ["multi_view_chain"])
+def test_sign_of_zero(spark, tmp_path, name):
+    """Lists of rounded values agree with SQL bit by bit; one image has a small negative pixel, one a small negative tz."""
+    con = duckdb.connect()
+    con.sql("CREATE TABLE embeddings AS SELECT i AS vec_id, [(CASE WHEN i = 1 AND p = 5 THEN -3e-7 ELSE (p * 37 % 64 - 31.5) / 64 END)::FLOAT FOR p IN range(64)] AS embedding, 0 AS label FROM (VALUES (1::BIGINT), (92726)) t(i)")
+    con.sql(f"COPY embeddings TO '{tmp_path}/embeddings.parquet'")
+    df = registry.QUERIES[name](spark, str(tmp_path))
+    rel = con.sql(registry.SQL[name])
+    right = sorted(repr(list(r)) for r in rel.fetchall())
+    assert any("-0.0," in r for r in right)
+    assert sorted(repr(list(r)) for r in df.select(*rel.columns).collect()) == right
