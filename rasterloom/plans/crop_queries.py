@@ -81,7 +81,7 @@ def resize_and_pad(s, d):
 FROM (SELECT DISTINCT img FROM px) c CROSS JOIN range(100) r(i) LEFT JOIN px ON px.img = c.img AND px.y = i // 10 AND px.x = i % 10 GROUP BY c.img""")
 def pad_square(s, d):
     padded = crops.pad_square(F.col("values"), 8, 8, 10)
-    return _rasters(s, d).select(F.col("id").alias("img"), F.transform(padded, lambda v: F.round(v, 6)).alias("v"))
+    return _rasters(s, d).select(F.col("id").alias("img"), F.transform(padded, signed6).alias("v"))
 
 
 @query(f"WITH {PX} SELECT img, p, round(v, 6) AS value, (v > 0)::DOUBLE AS alpha, round(CASE WHEN v > 0 THEN 1 - v ELSE v END, 6) AS mixed FROM px")
