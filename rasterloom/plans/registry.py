@@ -733,7 +733,7 @@ def nan_audit(s, d):
 
 
 def _r6_values(df):
-    return df.select("id", F.transform("values", lambda v: F.round(v, 6)).alias("values"))
+    return df.select("id", F.transform("values", signed6).alias("values"))
 
 
 @query(f"WITH {PX} SELECT img, any_value(label) AS label, list(v ORDER BY p) AS v FROM px GROUP BY img")

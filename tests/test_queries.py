@@ -32,7 +32,7 @@ def test_query(spark, name):
     assert left == right
 
 
-@pytest.mark.parametrize("name", ["multi_view_chain", "pad_square"])
+@pytest.mark.parametrize("name", ["multi_view_chain", "pad_square", "predict_inpaint"])
 def test_sign_of_zero(spark, tmp_path, name):
     """Lists of rounded values agree with SQL bit by bit; one image has a small negative pixel, one a small negative tz."""
     con = duckdb.connect()
